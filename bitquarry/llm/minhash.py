@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, drop_spill, prepare, spill, table
@@ -155,14 +155,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = upto
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle; the second and later occurrences of a shingle in a text are tokens of their own."""
+    for batch in batches:
+        for i, j, data, offsets in blocks(batch, "text"):
+            element, weight, of = _counted(*shingles(words(data, offsets), WORDS))
+            row = np.repeat(np.arange(len(element)), weight)
+            turn = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
+            n = np.bincount(of, weights=weight, minlength=j - i).astype(np.int64)
+            doc = of[row]
+            part = batch.slice(i, j - i)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(take), part.column("label").take(take), pa.array(n[doc]), pa.array(mix(element[row] + turn.astype(np.uint64) * _UNIT).view(np.int64))],
+                names=["id", "label", "n", "token"],
+            )
+
+
+def _prefix_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels among (id, label, text) that can be similar: exact, by rarest tokens.
+
+    With the tokens of every text in the order of their frequency, two similar texts share one of the first
+    n - ceil(0.8 n) + 1. What makes a near copy differ is rare and comes first, so copies of one text that differ
+    too much from it meet nobody. Tokens of one label alone make no pairs; sizes and the places of the shared
+    token leave out most others.
+    """
+    low, high = SIMILAR
+    token = spill(texts.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tokens, "id long, label long, n long, token long"), "tokens")
+    often = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    mine = Window.partitionBy("id")
+    rank = F.row_number().over(mine.orderBy("df", "token")) + F.col("n") - F.count("*").over(mine)
+    placed = token.join(often, "token").withColumn("at", rank)
+    prefix = spill(placed.where(f"lo <> hi and at <= n - (({low} * n + {high - 1}) div {high}) + 1").select("token", "id", "label", "n", "at"), "prefix")
+    x, y = (prefix.select("token", *(F.col(c).alias(c + s) for c in ("id", "label", "n", "at"))) for s in ("1", "2"))
+    size = (F.col("n1") * high >= F.col("n2") * low) & (F.col("n2") * high >= F.col("n1") * low)
+    room = (F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + 1) * (low + high) >= (F.col("n1") + F.col("n2")) * low
+    met = x.join(y, (x.token == y.token) & (x.id1 < y.id2) & (x.label1 != y.label2) & size & room)
+    return met.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id): classes of documents that links of similarity 0.8 or more join, named by their smallest id.
 
     Texts with equal word sequences are one class from the start and go on as one representative. Each bucket of
-    a band links its members to its smallest member, which takes one comparison per member however large the
-    bucket; the links are verified on the whole texts. Only pairs of a bucket that these links have not brought
-    into one class are then compared too, so no link between different texts is lost, and a large group of near
-    copies never becomes all its pairs. A pair at the threshold shares no bucket with a probability of 3e-6.
+    a band links its members to the one that meets most others in all its buckets, which takes one comparison per
+    member however large the bucket; the links are verified on the whole texts. Texts of a bucket that this has not
+    brought into one class are then joined on their rarest shingles, which finds every link between them without
+    listing the pairs of a large group. A pair at the threshold shares no bucket with a probability of 3e-6.
 
     Texts that are null or hold no word are each a class of their own. Texts of one to four words are one
     shingle. Rows with equal ids share their class; a row whose id is null has the class null. An empty table
@@ -175,13 +214,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     least = sketch.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
     member = spill(sketch.select("id", "key1", "key2").join(least, ["key1", "key2"]).select("id", "rep").distinct(), "member")
     lone = sketch.join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
-    bucket = lone.select("id", "n", F.explode("bands").alias("band"))
-    centre = bucket.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("m")).where("m > 1").select("band", "centre")
-    bucket = spill(bucket.join(centre, "band"), "bucket")
-    star = bucket.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    bucket = lone.select("id", F.explode("bands").alias("band"))
+    bucket = spill(bucket.join(bucket.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bucket")
+    central = bucket.groupBy("id").agg(F.sum("m").alias("met"))
+    centre = bucket.join(central, "id").groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
+    star = bucket.join(centre, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     star = spill(star, "star")
-    nodes = bucket.select("id").distinct()
-    texts = spill(plain.join(nodes, "id", "left_semi"), "candidate-text")
+    texts = spill(plain.join(bucket.select("id").distinct(), "id", "left_semi"), "candidate-text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
@@ -189,18 +228,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return pairs.join(left, "a").join(right, "b").select("a", "b", F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right")).mapInArrow(_verify, "a long, b long")
 
     links = spill(verified(star), "links")
-    label = spill(components(links), "label")
-    named = bucket.join(label.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    label = components(links).withColumnRenamed("node", "id")
+    named = spill(bucket.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")), "named")
     mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    named = spill(named.join(mixed, "band"), "mixed")
-    x, y = (named.select("band", *(F.col(c).alias(c + s) for c in ("id", "n", "label"))) for s in ("1", "2"))
-    low, high = SIMILAR
-    open_pairs = x.join(y, (x.band == y.band) & (x.id1 < y.id2) & (x.label1 != y.label2) & (x.n1 * high >= y.n2 * low) & (y.n2 * high >= x.n1 * low))
-    rest = open_pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = spill(verified(rest), "links")
+    apart = named.join(mixed, "band").select("id", "label").distinct()
+    more = spill(verified(_prefix_pairs(texts.join(apart, "id")).join(star, ["a", "b"], "left_anti")), "links")
     final = components(links.unionAll(more))
     rep = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
-    for done in (bucket, star, texts, named, label):
+    rep = spill(rep, "class")
+    for done in (bucket, star, texts, named, links, more, member):
         drop_spill(done)
     return plain.select("id").join(rep, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
