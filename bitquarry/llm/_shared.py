@@ -12,12 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows that an Arrow batch holds at most; whole texts travel in it, so it is far below Spark's default.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes, so that a worker's memory doesn't follow the text length."""
+    """Send the package to the workers and bound the Arrow batches, so that memory doesn't follow the text length."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -23,14 +23,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import prepare, table
+from ._shared import prepare, spill, table
 from ._words import NORMAL
 
 #: Labelled rows that the classifier is fitted on at most; the first by a hash of their id.
 LABELLED = 16_000
 #: Terms of the lexicon at most, characters of a stem, and documents that a term must have.
 TERMS, STEM, SUPPORT = 200, (3, 9), 6
-#: How much more frequent a term must be in toxic documents.
+#: Occurrences of a term in a document that count.
+BURST = 8
+#: How much more frequent among their words a term must be in toxic documents.
 RATIO = 6.0
 #: Words on each side of a match that are its context.
 CONTEXT = 8
@@ -200,22 +202,36 @@ def held_out(column: str) -> Column:
 
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic documents, other documents) of all words and stems, summed by batch."""
+    """(term, occurrences in toxic documents, in others, toxic documents) of all words and stems, summed by batch.
+
+    A document's occurrences of a term count up to ``BURST``; all its words together stand under the empty term.
+    """
     low, high = STEM
     for batch in batches:
-        counts = (Counter(), Counter())
+        counts, docs = (Counter(), Counter()), Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {w.decode() for w in (text or "").lower().encode().translate(_TABLE).split() if 3 <= len(w) <= 64}
-            terms = set(words)
-            for w in words:
-                terms.update(w[:n] + "*" for n in range(low, min(high, len(w)) + 1))
-            counts[0 if toxic else 1].update(terms)
+            side = 0 if toxic else 1
+            own: Counter = Counter()
+            for word, n in Counter((text or "").lower().encode().translate(_TABLE).split()).items():
+                counts[side][""] += n
+                if 3 <= len(word) <= 64:
+                    w = word.decode()
+                    own[w] += n
+                    for k in range(low, min(high, len(w)) + 1):
+                        own[w[:k] + "*"] += n
+            for term, n in own.items():
+                counts[side][term] += min(n, BURST)
+            if toxic:
+                docs.update(own.keys())
         names = list(set(counts[0]) | set(counts[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in counts)], names=["term", "yes", "no"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (*counts, docs))], names=["term", "yes", "no", "docs"])
 
 
 def choose_terms(rows: list[tuple[str, int, int]], n_yes: int, n_no: int) -> dict[str, float]:
-    """Terms by how surely they tell toxic documents apart, none of which begins another; the log of how much more frequent each is."""
+    """Terms by how surely they tell toxic words apart, none of which begins another; the log of how much more frequent each is.
+
+    rows: (term, occurrences in toxic documents, in others); n_yes and n_no are all words of both.
+    """
 
     def surprise(yes: int, no: int) -> float:
         out = 0.0
@@ -273,14 +289,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = spark.createDataFrame(known.orderBy(F.xxhash64("__id"), "__id").limit(labelled).collect(), "__id long, toxic int")  # bounded by the parameter
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "__id")
     first = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)) == 0
-    counted = texts.where(first).select("text", "toxic").mapInArrow(_stems, "term string, yes long, no long")
+    counted = texts.where(first).select("text", "toxic").mapInArrow(_stems, "term string, yes long, no long, docs long")
     totals = sample.groupBy(first.alias("first"), "toxic").agg(F.count("*").alias("n")).collect()  # at most 4 rows
-    n_yes, n_no = (sum(r["n"] for r in totals if r["first"] and (r["toxic"] != 0) == y) for y in (True, False))
     terms: dict[str, float] = {}
-    if n_yes and n_no:
-        sums = counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where(F.col("yes") >= SUPPORT)
-        often = sums.where((F.col("yes") + 0.5) / (n_yes + 1) >= RATIO * (F.col("no") + 0.5) / (n_no + 1))
-        best = often.orderBy(F.desc(F.col("yes") - F.col("no") * (n_yes / n_no)), "term").limit(40 * TERMS)
+    if {bool(r["toxic"]) for r in totals if r["first"]} == {True, False}:
+        sums = spill(counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("docs").alias("docs")).where(f"docs >= {SUPPORT} or term = ''"), "terms")
+        n_yes, n_no = sums.where("term = ''").select("yes", "no").first() or (0, 0)
+        often = sums.where("term <> ''").where((F.col("yes") + 0.5) * (n_no + 1) >= RATIO * (F.col("no") + 0.5) * (n_yes + 1))
+        best = often.orderBy(F.desc(F.col("yes") - F.col("no") * (n_yes / max(1, n_no))), "term").limit(40 * TERMS)
         terms = choose_terms([(r["term"], r["yes"], r["no"]) for r in best.collect()], n_yes, n_no)
     shared = spark.sparkContext.broadcast(terms)
     rows = texts.where(~first).mapInArrow(_train_rows(shared), "features array<double>, toxic int").collect()  # bounded by the sample
