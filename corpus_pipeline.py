@@ -1,20 +1,51 @@
-"""The corpus pipeline: stages that each apply one operator to the documents that the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to the documents that the stage before kept.
+
+Order: toxic documents go, repeated blocks of lines are cut from the later document, one document of each
+near-duplicate class stays, documents that hold a benchmark passage go, and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bitquarry.llm._shared import fresh_path, table
+from bitquarry.llm.contamination import decontaminate
+from bitquarry.llm.linededup import dedup_lines
 from bitquarry.llm.minhash import keep_one_of_each
+from bitquarry.llm.packing import best_fit_pack
+from bitquarry.llm.toxicity import fit, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the model learns from the labels of these documents."""
+    return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document has are cut; a document that loses all its words goes."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, the one of the smallest id."""
     return keep_one_of_each(docs)
 
 
-STAGES = [("minhash", minhash)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return best_fit_pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash", minhash), ("decontamination", decontamination), ("packing", packing)]
 
+#: Learned scores, alignments and token ids can't be expressed in SQL; each stage has a brute-force test instead.
 ORACLE_SQL = None
 
 
