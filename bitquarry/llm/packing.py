@@ -100,8 +100,9 @@ def _cut(path: str, end: int, capacity: int) -> Callable[[Iterator[pa.RecordBatc
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
-                ids = memoryview(ids + tail)
+            docs = batch.column("doc_id").to_pylist()
+            for row, ids in encoder(path).encode_rows(batch):
+                doc, ids = docs[row], memoryview(ids + tail)
                 n, start = len(ids) // 4, 0
                 length = (n - 1) % capacity + 1  # the first piece takes the remainder
                 for piece in range(-(-n // capacity)):

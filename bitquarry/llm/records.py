@@ -119,8 +119,9 @@ def _write(folder: str, tokenizer: str, end: int, width: int) -> Callable[[Itera
 
         def records() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
-                    yield doc, np.frombuffer(ids + tail, "<u4").astype(kind).tobytes()
+                docs = batch.column("doc_id").to_pylist()
+                for row, ids in encoder(tokenizer).encode_rows(batch):
+                    yield docs[row], np.frombuffer(ids + tail, "<u4").astype(kind).tobytes()
 
         context = TaskContext.get()
         shard = context.partitionId()
