@@ -162,31 +162,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             element, weight, of = _counted(*shingles(words(data, offsets), WORDS))
             row = np.repeat(np.arange(len(element)), weight)
             turn = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
-            n = np.bincount(of, weights=weight, minlength=j - i).astype(np.int64)
-            doc = of[row]
-            part = batch.slice(i, j - i)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(take), part.column("label").take(take), pa.array(n[doc]), pa.array(mix(element[row] + turn.astype(np.uint64) * _UNIT).view(np.int64))],
-                names=["id", "label", "n", "token"],
-            )
+            part, take = batch.slice(i, j - i), pa.array(of[row])
+            token = mix(element[row] + turn.astype(np.uint64) * _UNIT)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("label").take(take), pa.array(token.view(np.int64))], names=["id", "label", "token"])
 
 
-def _prefix_pairs(texts: DataFrame) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different labels among (id, label, text) that can be similar: exact, by rarest tokens.
 
     With the tokens of every text in the order of their frequency, two similar texts share one of the first
     n - ceil(0.8 n) + 1. What makes a near copy differ is rare and comes first, so copies of one text that differ
-    too much from it meet nobody. Tokens of one label alone make no pairs; sizes and the places of the shared
-    token leave out most others.
+    too much from it meet nobody. Tokens of one label alone make no pairs; sizes (id, n) and the places of the
+    shared token leave out most others.
     """
     low, high = SIMILAR
-    token = spill(texts.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tokens, "id long, label long, n long, token long"), "tokens")
-    often = token.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    token = spill(texts.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tokens, "id long, label long, token long"), "tokens")
+    often = token.groupBy("token").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("mixed")).where("df > 1")
     mine = Window.partitionBy("id")
-    rank = F.row_number().over(mine.orderBy("df", "token")) + F.col("n") - F.count("*").over(mine)
-    placed = token.join(often, "token").withColumn("at", rank)
-    prefix = spill(placed.where(f"lo <> hi and at <= n - (({low} * n + {high - 1}) div {high}) + 1").select("token", "id", "label", "n", "at"), "prefix")
+    placed = token.select("id", "token").join(often, "token").select("*", F.row_number().over(mine.orderBy("df", "token")).alias("rank"), F.count("*").over(mine).alias("shared"))
+    placed = placed.where("mixed").join(texts.select("id", "label").distinct().join(sizes, "id"), "id").withColumn("at", F.expr("rank + n - shared"))
+    prefix = spill(placed.where(f"at <= n - (({low} * n + {high - 1}) div {high}) + 1").select("token", "id", "label", "n", "at"), "prefix")
     x, y = (prefix.select("token", *(F.col(c).alias(c + s) for c in ("id", "label", "n", "at"))) for s in ("1", "2"))
     size = (F.col("n1") * high >= F.col("n2") * low) & (F.col("n2") * high >= F.col("n1") * low)
     room = (F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + 1) * (low + high) >= (F.col("n1") + F.col("n2")) * low
@@ -220,7 +215,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     centre = bucket.join(central, "id").groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
     star = bucket.join(centre, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     star = spill(star, "star")
-    texts = spill(plain.join(bucket.select("id").distinct(), "id", "left_semi"), "candidate-text")
+    texts = spill(plain.join(bucket.select("id").distinct().hint("merge"), "id", "left_semi"), "candidate-text")  # one plan at every size
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
@@ -231,8 +226,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     label = components(links).withColumnRenamed("node", "id")
     named = spill(bucket.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")), "named")
     mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    sizes = lone.groupBy("id").agg(F.max("n").alias("n"))
     apart = named.join(mixed, "band").select("id", "label").distinct()
-    more = spill(verified(_prefix_pairs(texts.join(apart, "id")).join(star, ["a", "b"], "left_anti")), "links")
+    more = spill(verified(_prefix_pairs(texts.join(apart, "id"), sizes).join(star, ["a", "b"], "left_anti")), "links")
     final = components(links.unionAll(more))
     rep = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     rep = spill(rep, "class")
