@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE, in the order in which they are listed.
-MODULES = ("bitquarry.operators.order", "bitquarry.operators.geometry")
+MODULES = tuple(f"bitquarry.operators.{m}" for m in ("order", "geometry", "planes", "blocks"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
