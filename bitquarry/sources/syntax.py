@@ -10,6 +10,7 @@ read so far. Fields that weren't read are absent, which is not the same as zero.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from functools import lru_cache
 from typing import Any
 
@@ -29,7 +30,7 @@ table profile_info()
   non_packed_constraint_flag flag
   frame_only_constraint_flag flag
   let begin = position()
-  let named = {profile_idc} | {k for k in range(32) if compatibility_flags[k]}
+  let named = {profile_idc} | raised(compatibility_flags)
   if named & set(range(4, 12))
     max_12bit_constraint_flag flag
     max_10bit_constraint_flag flag
@@ -825,7 +826,7 @@ def width(n: int) -> int:
 
 
 def _code(text: str):
-    return compile(text, f"<{text}>", "eval")
+    return int(text) if text.isdigit() else compile(text, f"<{text}>", "eval")
 
 
 @lru_cache(maxsize=1)
@@ -887,7 +888,7 @@ class _Run:
         self.reader = reader
         self.tools = {
             "position": lambda: reader.at, "since": self.since, "ahead": reader.peek, "skip": reader.u, "width": width, "running": _running, "left": lambda: reader.left,
-            "chained": self.chained, "run_of": self.run_of,
+            "chained": self.chained, "run_of": self.run_of, "raised": lambda flags: {k for k, f in enumerate(flags) if f},
         }
 
     def since(self, begin: int) -> int:
@@ -920,7 +921,8 @@ class _Run:
         reader = self.reader
 
         def value(code, **more) -> Any:
-            return eval(code, _Scope(fields, local, more))  # the expressions are the constants above
+            # the expressions are the constants above
+            return code if code.__class__ is int else eval(code, _KNOWN, ChainMap(more, fields, local))
 
         for step in steps:
             kind = step[0]
@@ -931,9 +933,9 @@ class _Run:
                     while reader.more_data():
                         got.append(bool(reader.u(1)))
                 else:
-                    n = value(bits) if bits else 1
+                    n = value(bits) if bits is not None else 1
                     one = {"flag": lambda: bool(reader.u(1)), "ue": reader.ue, "se": reader.se, "u": lambda n=n: reader.u(n)}[descriptor]
-                    got = [one() for _ in range(_bounded(value(count)))] if count else one()
+                    got = [one() for _ in range(_bounded(value(count)))] if count is not None else one()
                 fields[name] = got
             elif kind == "table":
                 _, name, count, table, args = step
@@ -964,13 +966,8 @@ class _Run:
                 getattr(reader, step[0])()
 
 
-class _Scope(dict):
-    """Names of an expression: more specific ones first, and the few functions that tables use."""
-
-    _known = {f.__name__: f for f in (any, len, max, min, range, set, sum, zip)}
-
-    def __init__(self, fields: dict, local: dict, more: dict) -> None:
-        super().__init__(self._known | local | fields | more)
+#: The few functions that tables use.
+_KNOWN = {"__builtins__": {f.__name__: f for f in (any, len, max, min, range, set, sum, zip)}}
 
 
 def _running(first: int, deltas: list[int]) -> list[int]:
