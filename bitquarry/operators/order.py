@@ -17,9 +17,9 @@ def wrap_step(lsb: Column, previous: Column, period: int) -> Column:
     return F.when(previous - lsb >= half, F.lit(period)).when(lsb - previous > half, F.lit(-period)).otherwise(F.lit(0)).cast("long")
 
 
-def picture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def picture_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as pictures: a stream per user, low bits from the value, error events as random-access points."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value") if events is None else events
     return e.select(
         F.col("user_id").alias("stream_id"),
         F.col("event_id").alias("pic_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,12 @@ def ship(spark: SparkSession) -> None:
             out.write(source, Path(package.name) / source.relative_to(package))
     context.addPyFile(str(path))
     context._bitquarry_shipped = True
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in the folder that driver and executors share: ``spark.checkpoint.dir``, set only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="bitquarry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
