@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import prepare, spill, table
+from ._sql import WORDS as WORDS_SQL
 from ._words import Words, blocks, mix, words
 
 WINDOW = 10
@@ -213,9 +214,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-ORACLE_SQL = f"""WITH d AS (SELECT doc_id, coalesce({_WORDS_SQL.format('text')}, []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL.format('text')} AS w FROM benchmark),
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL.format("text")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[s:s + least({WINDOW}, len(w)) - 1], ' ') AS win
   FROM (SELECT item, w, unnest(generate_series(1, len(w) - least({WINDOW}, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT n FROM bw),

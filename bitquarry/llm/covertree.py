@@ -198,3 +198,13 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings``."""
     out = embedding_links(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: The same links and components from all pairs of a label.
+ORACLE_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.node = l.x),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON x = vec_id"""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, drop_spill, prepare, spill, table
+from ._sql import WORDS as WORDS_SQL
 from ._words import blocks, mix, shingles, words
 
 WORDS = 5
@@ -251,3 +252,15 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, class_id, kept) for every row of ``documents``."""
     out = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+#: The same classes from all pairs that share a shingle.
+ORACLE_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+sh AS (SELECT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WORDS - 1})) AS i FROM d WHERE len(w) >= {WORDS})
+  UNION ALL SELECT doc_id, '|' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {WORDS - 1}),
+c AS (SELECT doc_id, s, count(*) AS n FROM sh GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS i FROM c a JOIN c b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN t a ON a.doc_id = x JOIN t b ON b.doc_id = y WHERE i * {SIMILAR[1]} >= (a.n + b.n - i) * {SIMILAR[0]}),
+r AS (SELECT DISTINCT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.node = l.x),
+m AS (SELECT node, min(root) AS class_id FROM r GROUP BY node)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM documents JOIN m ON node = doc_id"""

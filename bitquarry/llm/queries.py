@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_dart_minhash": minhash.ORACLE_SQL,
+    "op2_cover_tree": covertree.ORACLE_SQL,
+    "op4_suffix_array": suffixdedup.ORACLE_SQL,
     "op5_decontamination": contamination.ORACLE_SQL,
     "op7_license_scan": licenses.oracle_sql(),
 }

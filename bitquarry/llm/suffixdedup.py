@@ -253,3 +253,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``documents``."""
     return removed_spans(table(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same digests from the hashes of all strings of the length, over hexadecimal text.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE len(h) >= {2 * LENGTH})),
+twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i > lag(i, 1, -{LENGTH + 1}) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} AS begins FROM s WHERE k IN (SELECT k FROM twice)),
+run AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+span AS (SELECT doc_id, run, min(i) AS lo, max(i) + {LENGTH} AS hi FROM run GROUP BY ALL),
+edge AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS lo, lo AS hi FROM span
+  UNION ALL SELECT doc_id, max(hi), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, len(h) // 2) - lo)), '' ORDER BY lo) AS k FROM edge JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
