@@ -24,7 +24,7 @@ from ._tokens import encoder, vocabulary
 CAPACITY = 1024
 END = 2
 #: Pieces of one length that are numbered in one task, about.
-NUMBERED = 200_000
+NUMBERED = 10_000
 
 
 class RoomTree:
@@ -145,9 +145,10 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tok
     pieces = spill(source.mapInArrow(_cut(tokenizer or vocabulary(), end, capacity), schema), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = best_fit_plan(histogram, capacity)
-    salts = max(1, -(-max(histogram.values(), default=0) // NUMBERED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity x salts rows
+    # as many salts as a length needs: a frequent one is numbered by many tasks, the others by one each
+    salts = F.element_at(F.array(*(F.lit(-(-histogram.get(k, 1) // NUMBERED)) for k in range(1, capacity + 1))), F.col("length").cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # a row per length, and per NUMBERED pieces
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, prepare, spill, table
+from ..runtime import shared_path
+from ._shared import prepare, spill, table
 from ._tokens import encoder, vocabulary
 
 END = 0
@@ -181,5 +182,5 @@ def read_token_records(manifest: DataFrame, width: int = 2) -> DataFrame:
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_token_records(table(spark, sf_dir, "documents"), fresh_path(spark, "token-records"))
+    manifest = write_token_records(table(spark, sf_dir, "documents"), shared_path(spark, "token-records"))
     return read_token_records(manifest, id_width(vocabulary()))

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._shared import fresh_path, table
+from bitquarry.llm._shared import table
 from bitquarry.llm.contamination import decontaminate
 from bitquarry.llm.linededup import dedup_lines
 from bitquarry.llm.minhash import keep_one_of_each
 from bitquarry.llm.packing import best_fit_pack
 from bitquarry.llm.toxicity import fit, without_toxic
+from bitquarry.runtime import shared_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is a Parquet table that the next stage reads."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
