@@ -1,14 +1,18 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-At the top level the alphabet is small, so a whole bucket is induced at a time: the suffixes that stand before a
-bucket's are grouped by their first character in one stable sort. The recursion works on the names of the
-leftmost-smaller substrings, whose alphabet is as large as the string, one position after the other.
+The alphabet is small, so a whole bucket is induced at a time: the suffixes that stand before a
+bucket's are grouped by their first character in one stable sort. The recursion sorts the names of the
+leftmost-smaller substrings; there are many of them, so each is written as two digits, which keeps the alphabet
+about as small as the root of their number at every level, down to strings that are short.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Names below which a string is sorted position by position, which has no cost for each character of an alphabet.
+SMALL = 1 << 13
+
 
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one that starts behind it; the last one counts as smaller."""
@@ -44,9 +48,9 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -
             before, chars = before[rest], chars[rest]
             order = np.argsort(chars, kind="stable")
             before, chars = before[order], chars[order]
-            cut = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-            for part, to in zip(np.split(before, cut), chars[np.concatenate([[0], cut])].tolist(), strict=True):
-                waiting[to].append(part)
+            cut = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(chars)]
+            for lo, hi, to in zip(cut, cut[1:], chars[cut[:-1]].tolist(), strict=False):
+                waiting[to].append(before[lo:hi])
         return own
 
     for c in range(size):
@@ -88,10 +92,22 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     order = order[is_lms[order]]
     names, last = _name(text, lms, order)
     if last + 1 < len(lms):
-        order = lms[np.array(_sais(names.tolist(), last + 1))]
+        order = lms[_sort_names(names, last + 1)]
     return _induce(text, small, order, size)
 
 
+def _sort_names(names: np.ndarray, size: int) -> np.ndarray:
+    """The order of the suffixes of a string of names: each name as two digits, so that the alphabet stays small."""
+    if len(names) < SMALL:
+        return np.array(_sais(names.tolist(), size))
+    base = int(np.ceil(np.sqrt(size)))
+    digits = np.zeros(2 * len(names) + 1, np.uint16 if base < 65_000 else np.uint32)
+    digits[:-1:2] = names // base + 1
+    digits[1:-1:2] = names % base + 1
+    order = suffix_array(digits, base + 1)
+    return order[(order % 2 == 0) & (order < 2 * len(names))] // 2
+
+
 def _name(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the leftmost-smaller substrings in text order, equal for equal substrings, and the largest name."""
     rank = np.empty(len(text), np.int64)
