@@ -3,8 +3,8 @@
 From half of a bounded sample of labelled rows a lexicon is learned: words, and stems that begin words, that stand
 in many more toxic documents than others. It becomes a trie. Every different word of the corpus is turned into a
 Levenshtein automaton and run against the trie, so misspelled terms are found too. Each match is looked at in a
-window of words: inside quotation marks or after a reporting word it counts as a quotation, near a word of address
-as abuse. From the other half of the sample a logistic regression learns how much matches, misspellings and
+window of words: inside quotation marks or right after a reporting word it is a quotation, which counts apart from
+abuse, and near a word of address it counts as such. From the other half of the sample a logistic regression learns how much matches, misspellings and
 contexts weigh, in number and in density. Every document is scored over its whole text in one scan without shuffles.
 """
 
@@ -34,8 +34,8 @@ TERMS, STEM, SUPPORT = 200, (3, 9), 6
 BURST = 8
 #: How much more frequent among their words a term must be in toxic documents.
 RATIO = 6.0
-#: Words on each side of a match that are its context.
-CONTEXT = 8
+#: Words on each side of a match that are its context, and words before it where a reporting word makes it reported speech.
+CONTEXT, REPORTED = 8, 4
 #: Different words that a worker remembers.
 REMEMBERED = 400_000
 
@@ -48,39 +48,86 @@ _TABLE = NORMAL.tobytes()
 _QUOTED = re.compile('"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‹[^›\n]{1,400}›')
 
 
-class Levenshtein:
-    """The automaton of all strings within ``k`` edits of a word.
+class Shapes:
+    """The states of all Levenshtein automata of ``k`` edits, whatever the word, and their transitions.
 
-    A state is the set of positions (characters of the word used, edits made) that no other position covers, as
-    a tuple; characters that the word doesn't hold all lead the same way.
+    A state of a word's automaton is an offset and a shape: the positions (characters of the word used since the
+    offset, edits made) that no other one covers. Where a character leads depends only on the shape and on which of
+    the next characters of the word it equals, so transitions are worked out once and looked up from then on.
     """
 
-    def __init__(self, word: str, k: int) -> None:
-        self.word, self.k = word, k
-
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return self._closed({(0, 0)})
-
-    def step(self, state: tuple[tuple[int, int], ...], char: str) -> tuple[tuple[int, int], ...]:
-        out = set()
-        for i, e in state:
-            if i < len(self.word) and self.word[i] == char:
-                out.add((i + 1, e))
-            if e < self.k:
-                out.add((i, e + 1))  # the string has a character more
-                if i < len(self.word):
-                    out.add((i + 1, e + 1))  # or another one
-        return self._closed(out)
+    def __init__(self, k: int) -> None:
+        self.k, self.reach = k, 3 * k + 2
+        self.shapes: list[tuple[tuple[int, int], ...]] = []
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+        self.known: dict[tuple[int, int, int], tuple[int, int]] = {}
 
-    def _closed(self, positions: set[tuple[int, int]]) -> tuple[tuple[int, int], ...]:
+    def _of(self, positions: set[tuple[int, int]], rest: int) -> tuple[int, int]:
+        """The offset and the number of the shape of these positions, none of which lies behind the word; -1 if there is none."""
         least: dict[int, int] = {}
         for i, e in positions:
-            for more in range(min(self.k - e, len(self.word) - i) + 1):  # characters that the string lacks
-                least[i + more] = min(least.get(i + more, self.k), e + more)
-        return tuple(sorted(least.items()))
+            if i <= rest:
+                least[i] = min(least.get(i, self.k), e)
+        kept = sorted((i, e) for i, e in least.items() if not any(f < e and f + abs(i - j) <= e for j, f in least.items()))
+        if not kept:
+            return 0, -1
+        offset = kept[0][0]
+        shape = tuple((i - offset, e) for i, e in kept)
+        if shape not in self.number:
+            self.number[shape] = len(self.shapes)
+            self.shapes.append(shape)
+        return offset, self.number[shape]
+
+    def start(self, rest: int) -> int:
+        return self._of({(0, 0)}, min(rest, self.reach))[1]
+
+    def step(self, shape: int, equal: int, rest: int) -> tuple[int, int]:
+        """By how much the offset moves and the next shape: for the bits of the next characters that are equal, and
+        the characters that the word has left (from ``reach`` on they are enough)."""
+        key = shape, equal, rest
+        known = self.known.get(key)
+        if known is None:
+            out = set()
+            for i, e in self.shapes[shape]:
+                for more in range(self.k - e + 1):  # characters that the string lacks before the equal one
+                    if equal >> (i + more) & 1:
+                        out.add((i + more + 1, e + more))
+                if e < self.k:
+                    out.add((i, e + 1))  # the string has a character more
+                    if i < rest:
+                        out.add((i + 1, e + 1))  # or another one
+            known = self.known[key] = self._of(out, rest)
+        return known
+
+
+class Levenshtein:
+    """The automaton of all strings within some edits of a word; a state is an offset and the number of a shape."""
+
+    def __init__(self, word: str, shapes: Shapes) -> None:
+        self.length, self.shapes = len(word), shapes
+        self.where: dict[str, int] = {}  # bits of the places of each character
+        for i, char in enumerate(word):
+            self.where[char] = self.where.get(char, 0) | 1 << i
+        self.mask = (1 << shapes.reach) - 1
+
+    def start(self) -> tuple[int, int]:
+        return 0, self.shapes.start(self.length)
+
+    def step(self, state: tuple[int, int], char: str) -> tuple[int, int] | None:
+        """The state after a character; None if no string goes on from here."""
+        offset, shape = state
+        rest = self.length - offset
+        moved, shape = self.shapes.step(shape, self.where.get(char, 0) >> offset & self.mask, rest if rest < self.shapes.reach else self.shapes.reach)
+        return (offset + moved, shape) if shape >= 0 else None
+
+    def distance(self, state: tuple[int, int]) -> int | None:
+        """The edits from the word to the string read so far, None if too many."""
+        rest = self.length - state[0]
+        return min((e + rest - i for i, e in self.shapes.shapes[state[1]] if e + rest - i <= self.shapes.k), default=None)
 
-    def distance(self, state: tuple[tuple[int, int], ...]) -> int | None:
-        return next((e for i, e in state if i == len(self.word)), None)
+    def prefix_distance(self, state: tuple[int, int]) -> int:
+        """The edits from the nearest beginning of the word to the string read so far."""
+        return min(e for _, e in self.shapes.shapes[state[1]])
 
 
 class Lexicon:
@@ -91,7 +138,8 @@ class Lexicon:
         self.root: dict = {}
         self.exact: dict[str, str] = {}
         self.stems: dict[str, str] = {}
-        self.halves: dict[tuple[int, int], dict[str, list[str]]] = {}
+        self.shapes = Shapes(1)
+        halves: dict[tuple[int, int], set[str]] = {}
         for term in terms:
             node, stem, body = self.root, term.endswith("*"), term.rstrip("*")
             (self.stems if stem else self.exact)[body] = term
@@ -100,9 +148,11 @@ class Lexicon:
                     node = node.setdefault(c, {})
                 node["*" if stem else ""] = term
                 m = len(body) // 2
-                self.halves.setdefault((0, m), {}).setdefault(body[:m], []).append(term)
+                halves.setdefault((0, m), set()).add(body[:m])
                 for shift in (-1, 0, 1):
-                    self.halves.setdefault((m + shift, len(body) - m), {}).setdefault(body[m:], []).append(term)
+                    halves.setdefault((m + shift, len(body) - m), set()).add(body[m:])
+        self.halved = [(at, at + n, found) for (at, n), found in halves.items()]
+        self.shortest = 4  # a term of five characters less one
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
         self.known: dict[bytes, tuple[str, int] | None] = {}
 
@@ -113,14 +163,15 @@ class Lexicon:
         for n in self.sizes:
             if word[:n] in self.stems:
                 return self.stems[word[:n]], 0
-        # one edit leaves one half of the term as it is, moved by one character at most
-        if any(word[at : at + n] in halves for (at, n), halves in self.halves.items()):
-            return self.near(word, 1)
+        if len(word) >= self.shortest:
+            for at, end, halves in self.halved:  # one edit leaves one half of the term as it is, moved by one character at most
+                if word[at:end] in halves:
+                    return self.near(word)
         return None
 
-    def near(self, word: str, k: int) -> tuple[str, int] | None:
+    def near(self, word: str) -> tuple[str, int] | None:
         """Walk the trie and the word's automaton together; the nearest term, then the longest."""
-        automaton, best = Levenshtein(word, k), None
+        automaton, best = Levenshtein(word, self.shapes), None
         stack = [(self.root, automaton.start())]
         while stack:
             node, state = stack.pop()
@@ -128,7 +179,7 @@ class Lexicon:
                 if char == "":
                     d = automaton.distance(state)
                 elif char == "*":
-                    d = min(e for _, e in state)
+                    d = automaton.prefix_distance(state)
                 else:
                     after = automaton.step(state, char)
                     if after:
@@ -157,20 +208,22 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     words = lowered.encode().translate(_TABLE).split()
     found = lexicon.matches(words)
     n = len(words)
-    exact = [(i, t) for i, t, d in found if d == 0]
-    near = [(i, t) for i, t, d in found if d]
     quoted = address = 0
+    abuse = []
     if found:
         marks = _inside_quotes(lowered) if any(q in lowered for q in QUOTES) else None
-        for i, _, _ in found:
-            around = {w.decode() for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
-            if (marks is not None and i < len(marks) and marks[i]) or REPORT & around:
+        for i, t, d in found:
+            if (marks is not None and i < len(marks) and marks[i]) or not REPORT.isdisjoint(w.decode() for w in words[max(0, i - REPORTED) : i]):
                 quoted += 1
-            elif ADDRESS & around:
+                continue
+            abuse.append((t, d))
+            if not ADDRESS.isdisjoint(w.decode() for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]):
                 address += 1
-    weight = sum(lexicon.weight[t] for _, t in exact)
+    exact = [t for t, d in abuse if d == 0]
+    near = len(abuse) - len(exact)
+    weight = sum(lexicon.weight[t] for t in exact)
     per = 100.0 / (n + 20)
-    return [math.log1p(len(exact)), len(exact) * per, math.log1p(weight), weight * per, math.log1p(len(near)), len(near) * per, quoted * per, address * per, math.log1p(len({t for _, t in exact})), math.log1p(n)]
+    return [math.log1p(len(exact)), len(exact) * per, math.log1p(weight), weight * per, math.log1p(near), near * per, quoted * per, address * per, math.log1p(len(set(exact))), math.log1p(n)]
 
 
 def _inside_quotes(text: str) -> list[bool]:
