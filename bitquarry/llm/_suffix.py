@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Names below which a string is sorted position by position, which has no cost for each character of an alphabet.
-SMALL = 1 << 13
+SMALL = 1 << 16
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -28,56 +28,67 @@ def _types(text: np.ndarray) -> np.ndarray:
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """All suffixes, or where the seeds aren't sorted all substrings up to a leftmost-smaller one, in order.
 
-    seeds: the leftmost-smaller positions, those with equal first characters in the order to start from.
+    seeds: the leftmost-smaller positions, those with equal first characters in the order to start from. A bucket
+    holds its larger suffixes, which are filled in from the front, and behind them the smaller ones, from the back.
     """
     by = text[seeds]
     order = np.argsort(by, kind="stable")
     seeds = seeds[order]
-    start = np.searchsorted(by[order], np.arange(size + 1))
-    waiting: list[list[np.ndarray]] = [[] for _ in range(size)]
-    larger: list[np.ndarray] = [seeds[:0]] * size
-
-    def pass_on(cur: np.ndarray, kind: bool, c: int) -> np.ndarray:
-        """Hand the suffixes before ``cur`` that are of a kind to their buckets; those of bucket c are returned."""
+    cut = np.searchsorted(by[order], np.arange(size + 1)).tolist()
+    count = np.bincount(text, minlength=size)
+    end = np.cumsum(count)
+    begin = end - count
+    middle = begin + np.bincount(text[~small], minlength=size)
+    out = np.zeros(len(text), np.int32)
+    head, tail, steps = begin.copy(), end.copy(), np.arange(len(text))
+
+    def place(cur: np.ndarray, kind: bool) -> None:
+        """Put the suffixes before ``cur`` that are of a kind next in their buckets, in the order of ``cur``."""
         before = cur[cur > 0] - 1
         before = before[small[before] == kind]
+        n = len(before)
+        if not n:
+            return
         chars = text[before]
-        own = before[chars == c]
-        if len(own) < len(before):
-            rest = chars != c
-            before, chars = before[rest], chars[rest]
-            order = np.argsort(chars, kind="stable")
-            before, chars = before[order], chars[order]
-            cut = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(chars)]
-            for lo, hi, to in zip(cut, cut[1:], chars[cut[:-1]].tolist(), strict=False):
-                waiting[to].append(before[lo:hi])
-        return own
+        if n <= 4:
+            for i, c in zip(before.tolist(), chars.tolist(), strict=True):
+                if kind:
+                    tail[c] -= 1
+                    out[tail[c]] = i
+                else:
+                    out[head[c]] = i
+                    head[c] += 1
+            return
+        order = chars.argsort(kind="stable")
+        before, chars = before[order], chars[order]
+        turn = np.flatnonzero(chars[1:] != chars[:-1]) + 1
+        which = chars[np.concatenate([[0], turn])]
+        many = np.diff(turn, prepend=0, append=n)
+        rank = steps[:n] - np.repeat(np.concatenate([[0], turn]), many)
+        if kind:
+            out[tail[chars] - 1 - rank] = before
+            tail[which] -= many
+        else:
+            out[head[chars] + rank] = before
+            head[which] += many
 
+    starts, ends, middles = begin.tolist(), end.tolist(), middle.tolist()
     for c in range(size):
-        got, cur = [], waiting[c]
-        cur = np.concatenate(cur) if cur else seeds[:0]
-        while len(cur):
-            got.append(cur)
-            cur = pass_on(cur, False, c)
-        waiting[c] = []
-        larger[c] = np.concatenate(got) if got else seeds[:0]
-        if start[c] < start[c + 1]:
-            pass_on(seeds[start[c] : start[c + 1]], False, c)
-    out: list[np.ndarray] = []
+        at = starts[c]
+        while at < (to := int(head[c])):
+            batch, at = out[at:to], to
+            place(batch, False)
+        if cut[c] < cut[c + 1]:
+            place(seeds[cut[c] : cut[c + 1]], False)
+    out[0], tail[0] = len(text) - 1, 0  # the sentinel, alone in its bucket
     for c in range(size - 1, -1, -1):
-        got, cur = [], waiting[c]
-        cur = np.concatenate(cur) if cur else seeds[:0]
-        if c == 0:
-            cur = np.concatenate([np.array([len(text) - 1]), cur])  # the sentinel, alone in its bucket
-        while len(cur):
-            got.append(cur)
-            cur = pass_on(cur, True, c)
-        out += got
-        if len(larger[c]):
-            back = larger[c][::-1]
-            out.append(back)
-            pass_on(back, True, c)
-    return np.concatenate(out)[::-1]
+        at = ends[c]
+        while at > (to := int(tail[c])):
+            batch, at = out[to:at][::-1], to
+            place(batch, True)
+        if starts[c] < middles[c]:
+            place(out[starts[c] : middles[c]][::-1], True)
+    return out
 
 
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
@@ -197,31 +208,30 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     n = len(data)
     order = sa[1:]
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     own = before >= 0
-    tied = np.zeros(n, bool)
-    k = np.flatnonzero(own & (before > 0) & (at > 0))
-    tied[k] = data[k - 1] == data[before[k] - 1]
+    tied = own & (before > 0)
+    tied[:1] = False
+    tied[1:] &= data[:-1] == data[before[1:] - 1]
     i = np.flatnonzero(own & ~tied)
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     word = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    length = np.zeros(n, np.int64)
-    live, j = i, before[i]
+    live, j = i, before[i].astype(np.int64)
+    most = n - np.maximum(i, j)
     done = np.zeros(len(i), np.int64)
     which = np.arange(len(i))
     while len(live):
-        x = word[np.minimum(live, n)] ^ word[np.minimum(j, n)]
+        x = word[live] ^ word[j]
         same = x == 0
-        part = np.zeros(len(x), np.int64)
+        part = np.full(len(x), 8)
         if not same.all():
             low = x[~same] & (~x[~same] + np.uint64(1))
-            part[~same] = np.floor(np.log2(low.astype(np.float64))).astype(np.int64) // 8
-        part[same] = 8
+            part[~same] = np.log2(low.astype(np.float64)).astype(np.int64) // 8
         done[which] += part
-        same &= (live < n) & (j < n)
+        same &= done[which] < most[which]
         live, j, which = live[same] + 8, j[same] + 8, which[same]
-    length[i] = np.minimum(done, n - np.maximum(i, before[i]))
-    reach = np.where(own & ~tied, length + at, np.where(own, 0, at))
+    reach = np.where(own, 0, at)
+    reach[i] = np.minimum(done, most) + i
     return np.where(own, np.maximum(0, np.maximum.accumulate(reach) - at), 0), before

@@ -150,7 +150,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     hashed = spill(plain.mapInArrow(_lines, "id long, lines array<bigint>, n_words array<int>"), "lines")
     each = hashed.select("id", F.explode(F.arrays_zip("lines", "n_words")).alias("x")).where(F.col("x.n_words") >= LINE_WORDS).select("id", F.col("x.lines").alias("line")).distinct()
-    owner = each.groupBy("line").agg(F.min("id").alias("own"), F.count("*").alias("n")).where("n > 1").select("line", "own")
+    # a table of its own, so that the join's inputs are plain shuffles and the rows of a frequent line can be split
+    owner = spill(each.groupBy("line").agg(F.min("id").alias("own"), F.count("*").alias("n")).where("n > 1").select("line", "own"), "owners")
     pairs = spill(each.join(owner, "line").where("own < id").select("id", "own").distinct(), "line-pairs")
     theirs = hashed.select(F.col("id").alias("own"), F.col("lines").alias("own_lines"))
     met = pairs.join(theirs, "own").join(hashed, "id").select("id", "lines", "n_words", "own_lines")

@@ -179,6 +179,7 @@ def _prefix_pairs(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     low, high = SIMILAR
     token = spill(texts.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_tokens, "id long, label long, token long"), "tokens")
     often = token.groupBy("token").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("mixed")).where("df > 1")
+    often = spill(often, "often")
     mine = Window.partitionBy("id")
     placed = token.select("id", "token").join(often, "token").select("*", F.row_number().over(mine.orderBy("df", "token")).alias("rank"), F.count("*").over(mine).alias("shared"))
     placed = placed.where("mixed").join(texts.select("id", "label").distinct().join(sizes, "id"), "id").withColumn("at", F.expr("rank + n - shared"))
@@ -207,13 +208,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = spill(plain.where("id is not null").mapInArrow(_sketch, "id long, key1 long, key2 long, n long, bands array<bigint>"), "sketch")
-    least = sketch.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
+    # tables of their own, so that the join's inputs are plain shuffles and a hot key's rows can be split
+    least = spill(sketch.groupBy("key1", "key2").agg(F.min("id").alias("rep")), "least")
     member = spill(sketch.select("id", "key1", "key2").join(least, ["key1", "key2"]).select("id", "rep").distinct(), "member")
     lone = sketch.join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
     bucket = lone.select("id", F.explode("bands").alias("band"))
-    bucket = spill(bucket.join(bucket.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"), "bucket")
+    met = spill(bucket.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "met")
+    bucket = spill(bucket.join(met, "band"), "bucket")
     central = bucket.groupBy("id").agg(F.sum("m").alias("met"))
     centre = bucket.join(central, "id").groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
+    centre = spill(centre, "centre")
     star = bucket.join(centre, "band").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     star = spill(star, "star")
     texts = spill(plain.join(bucket.select("id").distinct().hint("merge"), "id", "left_semi"), "candidate-text")  # one plan at every size
@@ -226,14 +230,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = spill(verified(star), "links")
     label = components(links).withColumnRenamed("node", "id")
     named = spill(bucket.select("band", "id").join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")), "named")
-    mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    mixed = spill(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed")
     sizes = lone.groupBy("id").agg(F.max("n").alias("n"))
     apart = named.join(mixed, "band").select("id", "label").distinct()
     more = spill(verified(_prefix_pairs(texts.join(apart, "id"), sizes).join(star, ["a", "b"], "left_anti")), "links")
     final = components(links.unionAll(more))
     rep = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     rep = spill(rep, "class")
-    for done in (bucket, star, texts, named, links, more, member):
+    for done in (least, met, bucket, centre, star, texts, named, mixed, links, more, member):
         drop_spill(done)
     return plain.select("id").join(rep, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 

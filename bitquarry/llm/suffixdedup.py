@@ -27,7 +27,7 @@ LENGTH, GRAM = 200, 40
 #: Bytes of a text that are cut at a time.
 PIECE = (1 << 20) - 4096
 #: Bytes of different snippets of one gram that go to a shard; the strings of more are compared one by one.
-SHARD, GROUP = 2 << 20, 8 << 20
+SHARD, GROUP = 4 << 20, 8 << 20
 _INDEX = np.uint64((1 << 20) - 1)
 
 
@@ -183,6 +183,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cut = spill(docs.mapInArrow(_scan, "id long, mark long, gram long, whole long, start long, many long, inner boolean"), "snippets")
     gram = cut.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("one"), F.max("whole").alias("other"), F.max("inner").alias("any_inner"))
     several = gram.where("n > 1 or any_inner").select("gram", (F.col("one") != F.col("other")).alias("differ"), "any_inner")
+    several = spill(several, "several")  # a table of its own: the rows of a frequent gram can then be split in the join
     met = spill(cut.join(several, "gram"), "shared-snippets")
     whole = (F.col("start") + F.col("many") + LENGTH - 1).alias("hi")
     equal = met.where("not differ and not any_inner").select(*where, F.col("start").alias("lo"), whole)
@@ -202,7 +203,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = strings.groupBy("code1", "code2").agg(F.sum("copies").alias("n")).where("n > 1").select("code1", "code2")
     single = strings.join(twice, ["code1", "code2"]).select(*where, F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
     out = spill(equal.unionAll(copied).unionAll(sharded).unionAll(single).where("hi > lo"), "spans")
-    for done in (cut, met, kinds, parts, strings):
+    for done in (cut, several, met, kinds, parts, strings):
         drop_spill(done)
     return out
 
