@@ -1,12 +1,17 @@
-"""Initial states of arithmetic-coding contexts, and the arithmetic decoder over tables given to it."""
+"""Initial states of arithmetic-coding contexts, and coding trees as rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arith import clip, shift_right
-from ..sources.bits import BitReader, BitstreamError
+from ..runtime import ship
+from ..sources.entropy import Scripted
+from ..sources.slicedata import Picture, coding_tree, rows_of_tree
 from ..sources.tables import table
 
 
@@ -23,58 +28,26 @@ def init_type(slice_type: Column, init_flag: Column) -> Column:
     return F.when(slice_type == 2, 0).when(slice_type == 1, F.when(init_flag, 2).otherwise(1)).when(slice_type == 0, F.when(init_flag, 1).otherwise(2)).cast("long")
 
 
-class Context:
-    def __init__(self, state: int, mps: int) -> None:
-        self.state, self.mps = min(state, 63), mps & 1
-
-
-class ArithmeticDecoder:
-    """Decisions, bypass and terminating bins. The ranges of the less probable symbol (64 states by 4 quarters of the
-    range) and the transitions after it are parameters: they are data of the format, not of this engine."""
-
-    def __init__(self, reader: BitReader, lps_ranges: list[list[int]], after_lps: list[int]) -> None:
-        self.reader, self.lps_ranges, self.after_lps = reader, lps_ranges, after_lps
-        self.range, self.offset = 510, reader.u(9)
-        if self.offset >= 510:
-            raise BitstreamError("invalid syntax value", "arithmetic offset is out of range")
-
-    def _grow(self) -> None:
-        while self.range < 256:
-            self.range, self.offset = self.range << 1, self.offset << 1 | self.reader.u(1)
-
-    def decision(self, context: Context) -> int:
-        lps = self.lps_ranges[context.state][self.range >> 6 & 3]
-        self.range -= lps
-        if self.offset < self.range:
-            value = context.mps
-            context.state = min(context.state + 1, 62) if context.state < 62 else context.state
-        else:
-            value, self.offset, self.range = 1 - context.mps, self.offset - self.range, lps
-            if context.state == 0:
-                context.mps = 1 - context.mps
-            context.state = self.after_lps[context.state]
-        self._grow()
-        return value
-
-    def bypass(self) -> int:
-        self.offset = self.offset << 1 | self.reader.u(1)
-        if self.offset < self.range:
-            return 0
-        self.offset -= self.range
-        return 1
-
-    def bypass_bits(self, n: int) -> int:
-        value = 0
-        for _ in range(n):
-            value = value << 1 | self.bypass()
-        return value
-
-    def terminate(self) -> int:
-        self.range -= 2
-        if self.offset >= self.range:
-            return 1
-        self._grow()
-        return 0
+def coding_tree_rows(streams: DataFrame) -> DataFrame:
+    """(stream_id, path, x, y, log2, depth, split) of the coding trees of (stream_id, width, height, bins).
+
+    ``bins`` are the split decisions in coded order; a tree of its own for every row, its nodes flat and with their
+    paths of child numbers.
+    """
+    ship(streams.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for stream, w, h, bins in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "width", "height", "bins")), strict=True):
+                picture = Picture(width=w, height=h, ctb_log2=6, min_cb_log2=3)
+                tree = coding_tree(Scripted(bins), picture, 0, 0, 6, shape_only=True)
+                rows += [(stream, n["path"], n["x"], n["y"], n["log2"], n["depth"], n["split"]) for n in rows_of_tree(tree)]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["stream_id", "path", "x", "y", "log2", "depth", "split"])
+
+    return streams.mapInArrow(run, "stream_id long, path array<long>, x long, y long, log2 long, depth long, split boolean")
 
 
 def e1_context_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +64,15 @@ def e3_init_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", kind.alias("slice_type"), flag.alias("init_flag"), init_type(kind, flag).alias("init_type"))
 
 
-QUERIES = {"e1_context_states": e1_context_states, "e3_init_types": e3_init_types}
+def ex3_coding_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as coding trees of 64 samples; the decisions are the bits of a number that the key gives."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    bins = F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.pmod(F.shiftright(F.col("p_partkey") * 2654435761 + i * 40503, 7), F.lit(2)).cast("long"))
+    rows = p.select(F.col("p_partkey").alias("stream_id"), (F.col("p_size").cast("long") + 40).alias("width"), F.lit(64).cast("long").alias("height"), bins.alias("bins"))
+    return coding_tree_rows(rows).withColumn("path", F.array_join(F.transform("path", lambda c: c.cast("string")), "."))
+
+
+QUERIES = {"ex3_coding_trees": ex3_coding_trees, "e1_context_states": e1_context_states, "e3_init_types": e3_init_types}
 ORACLE = {
     "e1_context_states": """WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey % 256 AS init_value, CAST(l_quantity AS BIGINT) * 2 - 20 AS qp FROM lineitem),
 p AS (SELECT *, greatest(1, least(126, (((init_value // 16) * 5 - 45) * greatest(0, least(51, qp)) >> 4) + (init_value % 16) * 8 - 16)) AS pre FROM x)
