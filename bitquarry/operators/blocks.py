@@ -83,7 +83,7 @@ CHROMA = f"""CASE WHEN pred = 0 THEN CASE WHEN luma = 0 THEN 34 ELSE 0 END WHEN
   WHEN pred = 2 THEN CASE WHEN luma = 10 THEN 34 ELSE 10 END WHEN pred = 3 THEN CASE WHEN luma = 1 THEN 34 ELSE 1 END ELSE luma END"""
 
 LEVELS = "EACH({n}, k, AT(samples, k) - 128)"
-DEQUANTISED = f"""EACH(16, k, CLIP(SHR((AT(samples, k) - 128) * 16 * AT({_list(LEVEL_SCALE)}, plane_id % 52 % 6) * POW2(plane_id % 52 // 6) + POW2(shift - 1), shift), -32768, 32767))"""
+DEQUANTISED = f"""EACH(16, k, CLIP(SHR((AT(samples, k) - 128) * 16 * AT({_list(LEVEL_SCALE)}, plane_id % 52 % 6) * POW2(plane_id % 52 // 6) + POW2(shift - 1), shift), -16384, 16383))"""
 
 
 def transform_template(n: int, matrix: list[list[int]], depth: int) -> str:
