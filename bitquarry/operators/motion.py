@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.dialect import duck_sql, spark_sql
 from ..sources.tables import table
-from .planes import kernel, kernel_sql, planes8
+from .planes import PLANES8_SQL, kernel, kernel_sql, planes8
 
 # The taps of the luma and chroma interpolation filters, by fraction of a sample.
 LUMA = [[0, 0, 0, 64, 0, 0, 0, 0], [-1, 4, -10, 58, 17, -5, 1, 0], [-1, 4, -11, 40, 40, -11, 4, -1], [0, 1, -5, 17, 58, -10, 4, -1]]
@@ -61,6 +62,13 @@ EXPLICIT_WEIGHT = f"""EACH(64, k, SAMPLE(CASE plane_id % 4 WHEN 0 THEN SHR(AT(sa
   WHEN 2 THEN SHR(AT(samples, k) * {_W0} + AT(samples, 63 - k) * {_W1} + {_ROUND}, {_D} + 1) + SHR({_O0} + {_O1} + 1, 1) ELSE 0 END, 8))"""
 
 
+# both predictions of a block, from one plane moved by two vectors, weighted by default; a list that is missing is absent
+_MVX1, _MVY1 = "(plane_id % 17 - 8)", "(plane_id % 19 - 9)"
+SECOND_BLOCK = _block(fractional(LUMA, _frac(_MVX1, 2), _frac(_MVY1, 2), 3, 12), _MVX1, _MVY1, 2)
+BOTH_LISTS = f"""EACH(16, k, SAMPLE(CASE plane_id % 4 WHEN 0 THEN SHR(AT(first, k) + {1 << _SHIFT1 - 1}, {_SHIFT1}) WHEN 1 THEN SHR(AT(second, k) + {1 << _SHIFT1 - 1}, {_SHIFT1})
+  WHEN 2 THEN SHR(AT(first, k) + AT(second, k) + {1 << _SHIFT2 - 1}, {_SHIFT2}) ELSE 0 END, 8))"""
+
+
 def merge_candidates(spatial: DataFrame, both_lists: Column) -> DataFrame:
     """(id, rank, l0, l1) from rows (id, pos, l0, l1, most): the merge list of each id, as many entries as ``most``.
 
@@ -111,7 +119,14 @@ def _planed(template: str):
     return run
 
 
+def m4_inter_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks predicted from the first list, the second, both or none."""
+    p = planes8(spark, sf_dir).select("*", F.expr(spark_sql(LUMA_BLOCK)).alias("first"), F.expr(spark_sql(SECOND_BLOCK)).alias("second"))
+    return kernel(p, BOTH_LISTS)
+
+
 QUERIES = {
+    "m4_inter_prediction": m4_inter_prediction,
     "m1_motion_vectors": m1_motion_vectors, "m3_merge": m3_merge, "m5_default_weight": _planed(DEFAULT_WEIGHT), "m6_explicit_weight": _planed(EXPLICIT_WEIGHT),
     "m7_luma_fraction": _planed(LUMA_BLOCK), "m8_chroma_fraction": _planed(CHROMA_BLOCK),
 }
@@ -135,6 +150,7 @@ cand AS (SELECT id, l0, l1, k AS place FROM lead_ WHERE k <= most
 first_ AS (SELECT id, l0, l1, min(place) AS place FROM cand GROUP BY id, l0, l1),
 r AS (SELECT id, l0, l1, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS rank FROM first_)
 SELECT r.id, r.rank, r.l0, r.l1 FROM r JOIN n USING (id) WHERE r.rank < n.most""",
+    "m4_inter_prediction": kernel_sql(BOTH_LISTS, "pair", PLANES8_SQL + f", pair AS (SELECT *, {duck_sql(LUMA_BLOCK)} AS first, {duck_sql(SECOND_BLOCK)} AS second FROM planes8)"),
     "m5_default_weight": kernel_sql(DEFAULT_WEIGHT),
     "m6_explicit_weight": kernel_sql(EXPLICIT_WEIGHT),
     "m7_luma_fraction": kernel_sql(LUMA_BLOCK),

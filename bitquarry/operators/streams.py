@@ -133,6 +133,21 @@ def b12_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("vec_id", "size(raw) as n", f"{fold} as kept").selectExpr("vec_id", "cast(n as bigint) as n", "cast(size(kept) as bigint) as n_kept", "array_join(transform(kept, k -> cast(k as string)), ',') as kept")
 
 
+def plain_offsets(payloads: DataFrame) -> DataFrame:
+    """(id, i, plain): where each byte of escaped payloads (id, i, byte) lies once unescaped; a byte that goes has the
+    place of the one behind it. A running count of the 3s that stand behind two zeros."""
+    w = Window.partitionBy("id").orderBy("i")
+    gone = (F.col("byte") == 3) & (F.lag("byte", 1, 1).over(w) == 0) & (F.lag("byte", 2, 1).over(w) == 0)
+    before = F.sum(F.when(F.col("gone"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return payloads.withColumn("gone", gone).select("id", "i", (F.col("i") - F.coalesce(before, F.lit(0))).cast("long").alias("plain"))
+
+
+def x10_plain_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("size(embedding) = 64")
+    rows = e.selectExpr("vec_id", "64L as n", "transform(embedding, v -> cast(floor(abs(cast(v as double)) * 1000) as bigint) + vec_id % 7) as z")
+    return plain_offsets(rows.selectExpr("vec_id as id", f"posexplode({spark_sql(_BYTES)}) as (i, byte)").withColumn("i", F.col("i").cast("long")))
+
+
 def sample_table(chunks: DataFrame, runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(track, chunk, sample, offset, size): where each sample of a track lies.
 
@@ -181,7 +196,7 @@ def s11_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "s1_units": s1_units, "s2_round_trip": s2_round_trip, "s4_length_prefixed": s4_length_prefixed, "s8_sample_table": s8_sample_table, "s10_every_nth": s10_every_nth, "s11_rgb": s11_rgb,
     "p1_unit_headers": p1_unit_headers, "p6_sequence_sets": p6_sequence_sets, "p8_picture_sets": p8_picture_sets, "p17_messages": p17_messages, "p19_slice_headers": p19_slice_headers,
-    "b6_signed_codes": b6_signed_codes, "b12_unescape": b12_unescape, "b13_bin_strings": b13_bin_strings,
+    "b6_signed_codes": b6_signed_codes, "b12_unescape": b12_unescape, "b13_bin_strings": b13_bin_strings, "x10_plain_offsets": x10_plain_offsets,
 }
 
 
@@ -222,6 +237,9 @@ r AS (SELECT vec_id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT vec_id, raw
 s AS (SELECT *, sum(CASE WHEN b <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM b),
 k AS (SELECT vec_id, i, b, b = 3 AND coalesce(i - 1 - max(CASE WHEN b <> 0 THEN i END) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i) >= 2 AS gone FROM s)
 SELECT vec_id, 64::BIGINT AS n, count(*) FILTER (NOT gone) AS n_kept, string_agg(CAST(b AS VARCHAR), ',' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY vec_id""",
+        "x10_plain_offsets": f"""WITH z AS (SELECT vec_id, 64 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) + vec_id % 7) AS z FROM embeddings WHERE len(embedding) = 64),
+r AS (SELECT vec_id AS id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT id, raw, unnest(range(64)) AS i FROM r)
+SELECT id, i, i - len(list_filter(range(i), lambda k: k >= 2 AND raw[k + 1] = 3 AND raw[k] = 0 AND raw[k - 1] = 0)) AS plain FROM i""",
         "b13_bin_strings": f"""WITH x AS (SELECT p_partkey, p_size::BIGINT AS v, p_partkey % 60 + 1 AS c, p_partkey % 4 AS r FROM part),
 w AS (SELECT *, length(bin(c)) AS n, length(bin(c + 1)) - 1 AS k, length(bin(v // (1 << r) + 1)) - 1 AS o FROM x), u AS (SELECT *, (2 << k) - (c + 1) AS short, v - ((1 << o) - 1) * (1 << r) AS rest FROM w)
 SELECT p_partkey, CASE WHEN v <= c THEN {bits("v", "n")} END AS fl, CASE WHEN v <= c THEN CASE WHEN v < short THEN {bits("v", "k")} ELSE {bits("(v + short)", "(k + 1)")} END END AS tb,

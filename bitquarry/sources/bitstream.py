@@ -49,6 +49,27 @@ def split_sample(sample: bytes, length_size: int) -> list[bytes]:
     return out
 
 
+def substreams(escaped: bytes, start: int, offsets_minus1: list[int]) -> list[tuple[int, int]]:
+    """Byte ranges of the substreams of a slice, in the plain payload and from its data on.
+
+    Lengths count bytes of the escaped payload, in which the data begin at the first byte that unescapes to ``start``.
+    """
+    plain, kept = [], 0
+    for i, byte in enumerate(escaped):
+        plain.append(kept)
+        kept += not (byte == 3 and i >= 2 and escaped[i - 2 : i] == b"\0\0")
+    plain.append(kept)
+    if start not in plain:
+        raise BitstreamError("invalid syntax value", "CABAC start is not an EBSP boundary")
+    at, out = plain.index(start), []
+    for n in offsets_minus1:
+        if at + n + 1 >= len(plain):
+            raise BitstreamError("invalid syntax value", "entry-point exceeds EBSP payload")
+        out.append((plain[at] - start, plain[at + n + 1] - start))
+        at += n + 1
+    return [*out, (plain[at] - start, kept - start)]
+
+
 UNITS = "stream_id long, nal_idx long, unit binary, error string"
 
 

@@ -105,3 +105,25 @@ def test_bin_strings_reject_what_is_too_large():
         decode_bins("11111", "FL", c_max=30)
     with pytest.raises(BitstreamError):
         decode_bins("111", "EG")
+
+
+def test_substreams_of_a_slice():
+    from bitquarry.sources.bitstream import substreams
+
+    rng = random.Random(3)
+    for _ in range(200):
+        raw = bytes(rng.choice([0, 0, 1, 3, 7]) for _ in range(40))
+        coded = escape(raw)
+        start = rng.randrange(0, 5)
+        at = next(k for k in range(len(coded) + 1) if k - dropped_before(coded, k) == start)
+        lengths = [rng.randrange(1, 6) for _ in range(3)]
+        got = substreams(coded, start, [n - 1 for n in lengths])
+        assert got[0][0] == 0 and got[-1][1] == len(raw) - start
+        assert all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+        for n, (lo, hi) in zip(lengths, got, strict=False):
+            assert hi - lo == n - (dropped_before(coded, at + n) - dropped_before(coded, at))
+            at += n
+    with pytest.raises(BitstreamError):
+        substreams(b"abc", 0, [9])
+    with pytest.raises(BitstreamError):
+        substreams(b"abc", 7, [])
