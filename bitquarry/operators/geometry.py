@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arith import ceil_div, col, div, is_power_of_two, pick, power2, shift_right, total
+from ..functions.arith import ceil_div, div, is_power_of_two, pick, power2, shift_right, total
 from ..sources.tables import table
 
 # Chroma subsampling by chroma format 0 to 3 (monochrome, 4:2:0, 4:2:2, 4:4:4).
@@ -69,7 +69,7 @@ def part_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PICTURES_SQL = """pictures AS (SELECT p_partkey AS pic_id, p_size * 8 + p_partkey % 7 + 1 AS width, p_size * 4 + p_partkey % 5 + 1 AS height,
   p_partkey % 4 AS chroma, p_partkey % 11 = 0 AS separate, 7 + p_partkey % 11 AS depth_luma, 8 + p_partkey % 3 AS depth_chroma,
-  16 * (CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END) AS ctb, 4 * (1 + p_partkey % 2) AS min_tb,
+  CAST(16 * (CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END) AS BIGINT) AS ctb, 4 * (1 + p_partkey % 2) AS min_tb,
   1 + p_partkey % 4 AS want_cols, 1 + p_partkey % 3 AS want_rows, 2 + p_partkey % 5 AS slice_len FROM part),
 grid AS (SELECT *, (width + ctb - 1) // ctb AS ctb_w, (height + ctb - 1) // ctb AS ctb_h FROM pictures),
 tiled AS (SELECT *, least(want_cols, ctb_w) AS cols, least(want_rows, ctb_h) AS rows FROM grid)"""

@@ -228,7 +228,7 @@ SELECT event_id, (w // 512) % 64 AS nal_type, (w // 8) % 64 AS layer_id, w % 8 A
         "p8_picture_sets": """SELECT p_partkey AS stream_id, p_partkey % 8 AS pps_pic_parameter_set_id, p_partkey % 4 AS pps_seq_parameter_set_id, p_partkey % 11 - 5 AS init_qp_minus26, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 END AS diff_cu_qp_delta_depth,
   p_partkey % 7 - 3 AS pps_cb_qp_offset, 3 - p_partkey % 7 AS pps_cr_qp_offset, CASE WHEN (1 + p_partkey % 3) * (1 + p_partkey % 2) > 1 THEN p_partkey % 3 END AS tile_columns_minus1 FROM part""",
         "p17_messages": "SELECT p_partkey AS stream_id, p_partkey % 200 AS sei_type, p_partkey % 3 AS pic_type, p_partkey % 5 AS n_filler FROM part",
-        "p19_slice_headers": """SELECT p_partkey AS stream_id, 5 + k AS nal_idx, p_partkey % 8 AS pps_id, 2::BIGINT AS slice_type, (p_partkey + k) % 256 AS poc_lsb, (p_partkey + k) % 9 - 4 AS qp_delta, NULL AS error
+        "p19_slice_headers": """SELECT p_partkey AS stream_id, 5 + k AS nal_idx, p_partkey % 8 AS pps_id, 2::BIGINT AS slice_type, (p_partkey + k) % 256 AS poc_lsb, (p_partkey + k) % 9 - 4 AS qp_delta, CAST(NULL AS VARCHAR) AS error
 FROM (SELECT *, unnest(range(1 + p_partkey % 4)) AS k FROM part)""",
         "b6_signed_codes": """WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey * 3 + l_linenumber AS code FROM lineitem),
 v AS (SELECT *, CASE WHEN code % 2 = 1 THEN (code + 1) // 2 ELSE -(code // 2) END AS value FROM x) SELECT *, CASE WHEN value > 0 THEN value * 2 - 1 ELSE -value * 2 END AS back FROM v""",
