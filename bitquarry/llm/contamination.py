@@ -9,7 +9,6 @@ broadcast at a time is bounded. Documents are never shuffled while the benchmark
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 

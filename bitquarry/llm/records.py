@@ -160,7 +160,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str | None = No
     The texts are dealt by ranges of ids and sorted within them, so files in shard order are in id order; null
     ids come first and equal ids by their text. Null and empty texts are the end id alone. A task that is run
     again writes the same bytes and moves them over those of the lost attempt. The folder must be one that all
-    executors reach. An empty table writes no file.
+    executors reach. An empty table has files without records.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
