@@ -85,4 +85,6 @@ def part_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
             keys, sizes = batch.column("p_partkey").to_pylist(), batch.column("p_size").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([stream(k, s) for k, s in zip(keys, sizes, strict=True)], pa.binary())], names=["stream_id", "payload"])
 
-    return table(spark, sf_dir, "part", "p_partkey", "p_size").mapInArrow(run, "stream_id long, payload binary")
+    # keys are small and streams are not: deal the keys out before the streams are made
+    keys = table(spark, sf_dir, "part", "p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return keys.mapInArrow(run, "stream_id long, payload binary")
