@@ -2,10 +2,11 @@
 
 The lines of all documents are hashed, and every line long enough to tell texts apart points to the first document
 that has it. A later document is aligned with each earlier document that owns one of its lines, so the number of
-alignments is bounded by the number of lines, also where thousands of copies share a line. An alignment is a
-patience diff: lines that occur once in both documents are matched in their longest common order, the gaps between
-them are aligned the same way, and matches grow over equal lines on both sides. Runs of matched lines that hold
-enough words are deleted from the later document; the first occurrence of every block stays where it is.
+alignments is bounded by the number of lines, also where thousands of copies share a line. An alignment is a patience diff: lines that occur once in both
+documents are matched in their longest common order, the gaps between them are aligned the same way, and matches grow
+over equal lines on both sides. What it leaves is matched by the hashes of its runs, so blocks that stand more than
+once or in another order are found too. Runs of matched lines that hold enough words are deleted from the later
+document; the first occurrence of every block stays where it is.
 """
 
 from __future__ import annotations
@@ -74,26 +75,64 @@ def _longest_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def least_runs(n_words: Sequence[int]) -> list[tuple[int, int]]:
+    """The runs [i, j) of lines with words that begin or end at each line and hold just enough of them for a block.
+
+    Every run of lines with enough words is covered by those that lie in it.
+    """
+    out = set()
+    i = total = 0
+    for j, n in enumerate(n_words):  # [i, j] is the shortest run up to line j
+        total += n
+        while total - n_words[i] >= BLOCK_WORDS:
+            total -= n_words[i]
+            i += 1
+        if total >= BLOCK_WORDS:
+            out.add((i, j + 1))
+    j = total = 0
+    for i, n in enumerate(n_words):  # [i, j) is the shortest run from line i
+        while j < len(n_words) and total < BLOCK_WORDS:
+            total += n_words[j]
+            j += 1
+        if total >= BLOCK_WORDS:
+            out.add((i, j))
+        total -= n
+    return sorted(out)
+
+
 def common_blocks(later: Sequence[int], earlier: Sequence[int], n_words: Sequence[int]) -> list[int]:
-    """The lines of ``later`` in aligned runs of enough words; n_words are the words of its lines.
+    """The lines of ``later`` in runs of enough words that ``earlier`` has too; n_words are the words of its lines.
 
-    A run goes on over blank lines (hash 0) of the later document and breaks where either document has other lines
-    in between.
+    A run goes on over blank lines (hash 0) and breaks where either document has other lines in between. Runs that
+    the alignment crosses or leaves out, as their lines occur more than once, are looked up by their lines.
     """
-    keep_a = [i for i, x in enumerate(later) if x]
-    keep_b = [j for j, x in enumerate(earlier) if x]
-    matches = patience_matches([later[i] for i in keep_a], [earlier[j] for j in keep_b])
-    out: list[int] = []
-    run: list[int] = []
-    before = None
-    for i, j in [*matches, (-1, -1)]:
+    keep = [i for i, x in enumerate(later) if x]
+    a, b = [later[i] for i in keep], [x for x in earlier if x]
+    count = [n_words[i] for i in keep]
+    gone = [False] * len(a)
+    start = before = None
+    for i, j in [*patience_matches(a, b), (-1, -1)]:
         if before is not None and (i, j) != (before[0] + 1, before[1] + 1):
-            if sum(n_words[keep_a[k]] for k in run) >= BLOCK_WORDS:
-                out += [keep_a[k] for k in run]
-            run = []
-        run.append(i)
+            if sum(count[start : before[0] + 1]) >= BLOCK_WORDS:
+                gone[start : before[0] + 1] = [True] * (before[0] + 1 - start)
+            start = None
+        start = i if start is None else start
         before = i, j
-    return out
+    known = set(b)
+    if any(not g and x in known for g, x in zip(gone, a, strict=True)):
+        size = dict(zip(a, count, strict=True))
+        theirs: set[tuple[int, ...]] = set()
+        i = 0
+        while i < len(b):  # the stretches of lines that the later document has at all
+            j = i
+            while j < len(b) and b[j] in size:
+                j += 1
+            theirs.update(tuple(b[i + k : i + m]) for k, m in least_runs([size[x] for x in b[i:j]]))
+            i = j + 1
+        for k, m in least_runs(count):
+            if not all(gone[k:m]) and tuple(a[k:m]) in theirs:
+                gone[k:m] = [True] * (m - k)
+    return [i for i, g in zip(keep, gone, strict=True) if g]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

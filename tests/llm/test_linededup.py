@@ -63,6 +63,33 @@ def brute(rows):
     return out
 
 
+def shared_runs(a, b, n_words):
+    """The lines of a in runs of enough words that b has too, from all pairs of places; nothing of the module is called."""
+    at = [i for i, x in enumerate(a) if x]
+    a, b = [a[i] for i in at], [x for x in b if x]
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if sum(n_words[at[m]] for m in range(i, i + k)) >= ld.BLOCK_WORDS:
+                out |= set(at[i : i + k])
+    return sorted(out)
+
+
+def test_no_common_block_is_left():
+    rng = random.Random(6)
+    for _ in range(600):
+        size = [0] + [rng.randrange(1, 11) for _ in range(12)]
+        kinds = rng.choice([4, 7, 13])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        n_words = [size[x] for x in a]
+        assert ld.common_blocks(a, b, n_words) == shared_runs(a, b, n_words)
+    assert ld.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], [9] * 4) == [0, 1, 2, 3]  # in another order
+    assert ld.common_blocks([5, 1, 6, 1], [1, 7, 1], [9] * 4) == [1, 3]  # twice in both
+
+
 def test_matches_brute_force(spark):
     rng = random.Random(8)
     pool = [line(k) for k in range(60)] + ["short one", "", "  ", "tiny"]
