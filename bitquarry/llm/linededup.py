@@ -1,8 +1,9 @@
 """Line deduplication by pairwise alignment of documents that share rare lines.
 
 The lines of all documents are hashed, and every line long enough to tell texts apart points to the first document
-that has it. A later document is aligned with each earlier document that owns one of its lines, so the number of
-alignments is bounded by the number of lines, also where thousands of copies share a line. An alignment is a patience diff: lines that occur once in both
+that has it; so does every run of shorter lines that is just long enough for a block. A later document is aligned
+with each earlier document that owns one of its lines or runs, so the number of alignments is bounded by the number
+of lines, also where thousands of copies share a line. An alignment is a patience diff: lines that occur once in both
 documents are matched in their longest common order, the gaps between them are aligned the same way, and matches grow
 over equal lines on both sides. What it leaves is matched by the hashes of its runs, so blocks that stand more than
 once or in another order are found too. Runs of matched lines that hold enough words are deleted from the later
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ._shared import prepare, spill, table
 from ._words import blocks, mix, words
 
-#: Words of a line that can lead to an alignment, and of an aligned block that is deleted.
+#: Words of a line that can lead to an alignment by itself, and of an aligned block that is deleted.
 LINE_WORDS, BLOCK_WORDS = 6, 8
 
 
@@ -136,18 +137,20 @@ def common_blocks(later: Sequence[int], earlier: Sequence[int], n_words: Sequenc
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the hashes of its lines (0: without a word) and the number of words in each."""
+    """Per document the hashes of its lines (0: without a word), the number of words in each, and the hashes of its runs."""
     for batch in batches:
         for i, j, data, offsets in blocks(batch, "text"):
             code, count, ends = line_codes(data, offsets)
             where = np.concatenate([[0], ends]).astype(np.int32)
+            runs, run_doc = run_codes(code, count, ends)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(i, j - i),
                     pa.ListArray.from_arrays(where, pa.array(code.view(np.int64))),
                     pa.ListArray.from_arrays(where, pa.array(count.astype(np.int32))),
+                    pa.ListArray.from_arrays(np.searchsorted(run_doc, np.arange(len(where))).astype(np.int32), pa.array(runs.view(np.int64))),
                 ],
-                names=["id", "lines", "n_words"],
+                names=["id", "lines", "n_words", "runs"],
             )
 
 
@@ -170,6 +173,27 @@ def line_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code, count, ends
 
 
+def run_codes(code: np.ndarray, count: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``least_runs`` that have more than one line, and each one's document, ascending."""
+    doc = np.searchsorted(ends, np.arange(len(code)), "right")
+    code, doc, count = code[count > 0], doc[count > 0], count[count > 0]
+    n = len(code)
+    total = np.concatenate([[0], np.cumsum(count)])
+    line = np.arange(n)
+    first = np.concatenate([line, np.searchsorted(total, total[1:] - BLOCK_WORDS, "right") - 1])
+    last = np.concatenate([np.searchsorted(total, total[:-1] + BLOCK_WORDS) - 1, line])
+    inside = (first >= 0) & (last < n) & (first < last)
+    first, last = first[inside], last[inside]
+    whole = doc[first] == doc[last]
+    first, last = first[whole], last[whole]
+    out = (last - first + 1).astype(np.uint64)
+    for k in range(BLOCK_WORDS):  # each line has a word at least
+        has = first + k <= last
+        out[has] = mix(out[has] * np.uint64(0x9E3779B97F4A7C15) + code[first[has] + k])
+    order = np.argsort(doc[first], kind="stable")
+    return out[order], doc[first][order]
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         later, earlier, n_words = (batch.column(c).to_pylist() for c in ("lines", "own_lines", "n_words"))
@@ -187,8 +211,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     prepare(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    hashed = spill(plain.mapInArrow(_lines, "id long, lines array<bigint>, n_words array<int>"), "lines")
-    each = hashed.select("id", F.explode(F.arrays_zip("lines", "n_words")).alias("x")).where(F.col("x.n_words") >= LINE_WORDS).select("id", F.col("x.lines").alias("line")).distinct()
+    hashed = spill(plain.mapInArrow(_lines, "id long, lines array<bigint>, n_words array<int>, runs array<bigint>"), "lines")
+    lone = F.transform(F.filter(F.arrays_zip("lines", "n_words"), lambda x: x["n_words"] >= LINE_WORDS), lambda x: x["lines"])
+    each = hashed.select("id", F.explode(F.array_union(lone, "runs")).alias("line")).distinct()
     # a table of its own, so that the join's inputs are plain shuffles and the rows of a frequent line can be split
     owner = spill(each.groupBy("line").agg(F.min("id").alias("own"), F.count("*").alias("n")).where("n > 1").select("line", "own"), "owners")
     pairs = spill(each.join(owner, "line").where("own < id").select("id", "own").distinct(), "line-pairs")

@@ -98,6 +98,22 @@ def test_matches_brute_force(spark):
     assert gone == {d: g for d, g in brute(rows).items() if g}
 
 
+def test_blocks_of_short_lines_lead_to_alignments(spark):
+    from .brute import words
+
+    verse = "\n".join(f"verse {k} of a song" for k in range(20))
+    rows = [(1, "one\n" + verse), (2, "two\n\n" + verse.replace("\n", "\n\n")), (3, "verse 3 of a song")]
+    got = dedup(spark, rows)
+    assert (got[1], got[2].split(), got[3]) == (rows[0][1], ["two"], rows[2][1])
+    rng = random.Random(9)
+    pool = [" ".join(f"w{k}" for _ in range(rng.randrange(1, 10))) for k in range(25)] + ["", " "]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 16)))) for d in range(60)]
+    gone = {r["id"]: r["gone"] for r in ld.repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    texts = [[tuple(words(x)) for x in t.split("\n")] for _, t in rows]
+    want = {d: sorted({k for e in range(d) for k in shared_runs(texts[d], texts[e], [len(x) for x in texts[d]])}) for d, _ in rows}
+    assert gone == {d: g for d, g in want.items() if g}
+
+
 def test_later_copy_goes_and_the_first_stays(spark):
     block = "\n".join(line(k) for k in range(5))
     rows = [(5, "own first line of this one document here\n" + block), (3, block + "\nend of the first document, all of its own"), (9, block), (11, "nothing that anyone else has said before now")]
