@@ -74,7 +74,7 @@ def merge_candidates(spatial: DataFrame, both_lists: Column) -> DataFrame:
 
     First the different spatial candidates in order, then pairs of the first list of one with the second list of
     another among the leading ones, then zero vectors with ascending references; an entry never occurs twice. Each
-    id is one group with at most a few candidates, kept as an ordered array.
+    id is one group, kept as an ordered array of all its candidates.
     """
     cand = F.struct(F.col("l0"), F.col("l1"))
     g = spatial.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", cand.alias("c")))), lambda x: x["c"]).alias("all"), F.max("most").alias("most"), F.max(both_lists).alias("both"))
@@ -109,7 +109,7 @@ def m3_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") != "A", vector(F.col("l_suppkey") % 2, F.col("l_suppkey") % 2, F.lit(1))).alias("l1"),
         (F.col("l_orderkey") % 5 + 1).alias("most"),
     )
-    return merge_candidates(rows.where("pos <= 5"), F.col("id") % 2 == 0)
+    return merge_candidates(rows, F.col("id") % 2 == 0)
 
 
 def _planed(template: str):
