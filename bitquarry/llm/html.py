@@ -3,8 +3,9 @@
 Markup is stripped into lines, one per block of the page in page order. The length of a line is its text's, but 0
 where it belongs to a menu, header, footer, sidebar, notice, advert, form, comment or other part that isn't the
 article, or where it is little but links. The distribution is the sum of the lengths over windows of ``WINDOW``
-lines. The main text goes from a surge, where the sums rise over a threshold and stay, to the dive where they fall
-to nothing. A page that marks its article is read between the surge and the dive of the marked lines alone.
+lines. The main text goes from the first run of lines whose sums rise over a threshold, the surge, to the dive of the
+last, where the sums fall to nothing. Boxes within a text (adverts, forms, newsletters) have no line in it. A page that
+marks its articles is read from the marked lines alone, without those of teasers.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar\w*|aside|ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|breadcrumbs?|pagination|pager|widgets?|toolbar|search|copyright|legal|skip-link|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, what stands within a text: it ends none.
+BOXES = frozenset("aside form button label fieldset".split())
+BOX_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|newsletter|subscribe|subscription|signup|sign-up|share|sharing|social|related|recommend\w*|widgets?)(?:$|[\s_-])", re.I)
+#: What article elements are called that only lead to another page.
+TEASER = re.compile(r"(?:^|[\s_-])(?:teasers?|cards?|previews?)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -56,6 +62,8 @@ class Line(NamedTuple):
     main: bool  # whether it lies in a main element
     aside: bool
     linked: int  # characters of its text that are links
+    box: bool  # whether all asides that it lies in are boxes within a text
+    teaser: bool  # whether its article is called a teaser or an aside
 
 
 def _is_aside(name: str, attrs: str) -> bool:
@@ -69,20 +77,26 @@ def _is_aside(name: str, attrs: str) -> bool:
     return bool(NAMES.search(_ABOUT.sub(" ", by.get("class", ""))) or NAMES.search(by.get("id", "")) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", by.get("style", ""), re.I))
 
 
+def _named(attrs: str) -> str:
+    by = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+    return f"{_ABOUT.sub(' ', by.get('class', ''))} {by.get('id', '')}"
+
+
 def page_lines(page: str) -> list[Line]:
     """The blocks of a page in page order, without markup, comments, scripts and styles; empty ones are left out."""
     out: list[Line] = []
     parts: list[str] = []
     linked = links = article = articles = depth = mains = 0
-    #: Of the open asides: the name, how many of that name are open in it, and whether it holds comments.
-    asides: list[tuple[str, int, bool]] = []
+    teaser = False
+    #: Of the open asides: the name, how many of that name are open in it, whether it holds comments and is a box.
+    asides: list[tuple[str, int, bool, bool]] = []
     raw_until = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, article, mains > 0, bool(asides), linked))
+            out.append(Line(text, article, mains > 0, bool(asides), linked, bool(asides) and all(a[3] for a in asides), teaser and article > 0))
         parts.clear()
         linked = 0
 
@@ -122,7 +136,7 @@ def page_lines(page: str) -> list[Line]:
                 mains = max(0, mains - 1)
             for k in range(len(asides) - 1, -1, -1):
                 if asides[k][0] == name:
-                    asides[k] = name, asides[k][1] - 1, asides[k][2]
+                    asides[k] = name, asides[k][1] - 1, *asides[k][2:]
                     if not asides[k][1]:
                         if name not in BLOCK:
                             flush()
@@ -134,16 +148,18 @@ def page_lines(page: str) -> list[Line]:
                 if depth == 1:
                     articles += 1
                     article = articles
-                    if not any(a in ASIDE or held for a, _, held in asides):
+                    called = _named(m["attrs"])
+                    teaser = bool(TEASER.search(called) or NAMES.search(called))
+                    if not any(a in ASIDE or held for a, _, held, _ in asides):
                         asides.clear()  # what holds the article is none, whatever it is called
             elif name == "main":
                 mains += 1
             if asides and asides[-1][0] == name:
-                asides[-1] = name, asides[-1][1] + 1, asides[-1][2]
+                asides[-1] = name, asides[-1][1] + 1, *asides[-1][2:]
             elif _is_aside(name, m["attrs"]):
                 if name not in BLOCK:
                     flush()
-                asides.append((name, 1, bool(re.search("comment|repl|respon", m["attrs"], re.I))))
+                asides.append((name, 1, bool(re.search("comment|repl|respon", m["attrs"], re.I)), name in BOXES or (name not in ASIDE and bool(BOX_NAMES.search(_named(m["attrs"]))))))
     flush()
     return out
 
@@ -177,23 +193,47 @@ def surge_and_dive(lengths: np.ndarray, window: int = WINDOW, threshold: int = S
     return best[1], best[2]
 
 
+def text_range(lengths: np.ndarray, window: int = WINDOW, threshold: int = SURGE) -> tuple[int, int]:
+    """The range of lines from the first line of the first run with a surge to the dive of the last one.
+
+    Runs are those of ``surge_and_dive``. Short lines before a surge are its title, byline or date. Without a sum over
+    the threshold all runs count.
+    """
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
+    over = np.flatnonzero(sums >= threshold)
+    if not len(over):
+        over = np.flatnonzero(sums)
+    if not len(over):
+        return 0, 0
+    nothing = np.flatnonzero(sums == 0)
+    before, after = nothing[nothing < over[0]], nothing[nothing > over[-1]]
+    return (int(before[-1]) + 1 if len(before) else 0), (int(after[0]) if len(after) else n)
+
+
+def _articles(lines: list[Line]) -> set[int]:
+    """The article elements with text that aren't teasers: by name, or a linked heading with few lines; all if each is."""
+    held: dict[int, list[Line]] = {}
+    for line in lines:
+        if line.article and not line.aside:
+            held.setdefault(line.article, []).append(line)
+    for teaser in (lambda x: x[0].teaser, lambda x: len(x) <= WINDOW and x[0].linked > LINKS * len(x[0].text)):
+        held = {k: x for k, x in held.items() if not teaser(x)} or held
+    return set(held)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by line feeds. Null and empty pages have none."""
     lines = page_lines(page or "")
-    size: dict[int, int] = {}
-    for line in lines:
-        if line.article and not line.aside:
-            size[line.article] = size.get(line.article, 0) + len(line.text)
-    if size:
-        which = max(size, key=lambda k: (size[k], -k))
-        lengths = np.array([len(x.text) if x.article == which and not x.aside else 0 for x in lines])
-        lo, hi = surge_and_dive(lengths, len(lines) + 1, 1)  # marked: one run from its first line to its last
-    elif any(x.main and not x.aside for x in lines):
-        lengths = np.array([len(x.text) if x.main and not x.aside else 0 for x in lines])
-        lo, hi = surge_and_dive(lengths, len(lines) + 1, 1)
-    else:
-        lengths = np.array([0 if x.aside or x.linked > LINKS * len(x.text) else len(x.text) for x in lines], np.int64)
-        lo, hi = surge_and_dive(lengths)
+    which = _articles(lines)
+    if which:  # marked: all its lines
+        return "\n".join(x.text for x in lines if x.article in which and not x.aside)
+    if any(x.main and not x.aside for x in lines):
+        return "\n".join(x.text for x in lines if x.main and not x.aside)
+    lines = [x for x in lines if not x.box]
+    lengths = np.array([0 if x.aside or x.linked > LINKS * len(x.text) else len(x.text) for x in lines], np.int64)
+    lo, hi = text_range(lengths)
     return "\n".join(x.text for x, n in zip(lines[lo:hi], lengths[lo:hi], strict=True) if n)
 
 

@@ -29,6 +29,25 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+BOX = "<div class=newsletter><p>Join us</p><p>Every week</p><p>No spam</p><p>Sign up</p></div>"
+LINKED = "<ul><li><a>one</a><li><a>two</a><li><a>three</a><li><a>four</a></ul>"
+MENU = "<nav><p>a</p><p>b</p><p>c</p></nav>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>{LONG}</p>{BOX}<p>{LONG} {LONG}</p>{BOX}<p>The end.</p>", f"{LONG}\n{LONG} {LONG}\nThe end."),
+        (f"<p>{LONG}</p>{LINKED}<p>{LONG} {LONG}</p>", f"{LONG}\n{LONG} {LONG}"),
+        (f"<p>site</p>{MENU}<h1>Title</h1><p>by me</p><p>today</p><p>here</p><p>now</p><p>{LONG}</p>{MENU}<p>c</p>", f"Title\nby me\ntoday\nhere\nnow\n{LONG}"),
+        (f"<article><p>first</p></article><article><p>{LONG}</p></article>", f"first\n{LONG}"),
+        (f"<article><h1>T</h1><p>first</p></article><article><h2><a>Other</a></h2><p>{LONG}</p></article><article class='post teaser'><p>{LONG}</article>", "T\nfirst"),
+    ],
+)
+def test_no_part_of_the_text_is_left_out(page, text):
+    assert main_text(page) == text
+
+
 def test_surge_and_dive():
     assert surge_and_dive(np.array([0, 5, 0, 0, 0, 40, 0, 60, 3, 0, 0, 0, 9]), 3, 80) == (5, 9)
     assert surge_and_dive(np.array([0, 0])) == (0, 0)
