@@ -28,6 +28,8 @@ SURGE, LINKS = 80, 0.6
 
 # Elements by what they are for.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video map title textarea select datalist".split())
+#: Of these, what browsers read on to the end tag or the end of the page; the others end with a block where theirs is left out.
+RAW_TEXT = frozenset("script style noscript template iframe title textarea".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -56,6 +58,9 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 _SPACE = re.compile(r"\s+")
 
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option'}))})(?=[\s/>])", re.I)
+
+
 class Line(NamedTuple):
     text: str
     article: int  # number of the outermost article element that it lies in; 0: none
@@ -91,6 +96,7 @@ def page_lines(page: str) -> list[Line]:
     #: Of the open asides: the name, how many of that name are open in it, whether it holds comments and is a box.
     asides: list[tuple[str, int, bool, bool]] = []
     raw_until = 0
+    unclosed: set[str] = set()  # names without an end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -115,9 +121,12 @@ def page_lines(page: str) -> list[Line]:
             continue
         name, end = m["name"].lower(), bool(m["end"])
         if name in RAW and not end:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(page, m.end())
             if not m["attrs"].endswith("/") or name not in ("svg", "math"):
-                raw_until = close.end() if close else len(page)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(page, m.end())
+                if not close:
+                    unclosed.add(name)
+                block = None if close or name in RAW_TEXT else _BLOCK_TAG.search(page, m.end())
+                raw_until = close.end() if close else block.start() if block else len(page)
             continue
         if name in BLOCK:
             flush()

@@ -48,6 +48,12 @@ def test_no_part_of_the_text_is_left_out(page, text):
     assert main_text(page) == text
 
 
+def test_elements_without_an_end_tag_end_with_a_block():
+    for name in ("object", "select", "map", "canvas", "video", "audio", "svg", "datalist"):
+        assert main_text(f"<article><p>one</p><{name}><option>no<p>two</p></article>") == "one\ntwo"
+    assert main_text("<article><p>one</p><script>var a = '<p>no</p>'</article>") == "one"
+
+
 def test_surge_and_dive():
     assert surge_and_dive(np.array([0, 5, 0, 0, 0, 40, 0, 60, 3, 0, 0, 0, 9]), 3, 80) == (5, 9)
     assert surge_and_dive(np.array([0, 0])) == (0, 0)
