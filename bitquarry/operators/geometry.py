@@ -103,9 +103,8 @@ def uniform_sizes(length: Column, parts: Column) -> Column:
 
 
 def part_of(position: Column, length: Column, parts: Column) -> Column:
-    """The uniform part that a position lies in."""
-    inner = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: uniform_bound(i, length, parts) <= position)
-    return F.size(inner).cast("long") - 1
+    """The uniform part that a position lies in: the last one whose bound is not beyond it, -1 before the first."""
+    return F.when(position < 0, -1).otherwise(F.least(div((position + 1) * parts - 1, length), parts - 1)).cast("long")
 
 
 def explicit_part_of(position: Column, sizes: Column) -> Column:
@@ -191,20 +190,21 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j
 
 
+def _place_sql(x: str, y: str) -> dict[str, str]:
+    """DuckDB expressions of the address, tile and slice at a position, from the columns of its own row."""
+    bits = [f"((({v} % ctb // min_tb) >> {b}) % 2) * {1 << (2 * b + odd)}" for b in range(6) for odd, v in enumerate((x, y))]
+    ctu = f"(({y} // ctb) * ctb_w + {x} // ctb)"
+    tile = f"((({y} // ctb + 1) * rows - 1) // ctb_h * cols + (({x} // ctb + 1) * cols - 1) // ctb_w)"
+    return {"a": f"{ctu} * (ctb // min_tb) * (ctb // min_tb) + {' + '.join(bits)}", "tile": tile, "slice": f"{ctu} // slice_len"}
+
+
+_CUR, _NB = _place_sql("x", "y"), _place_sql("greatest(nx, 0)", "greatest(ny, 0)")
 NEIGHBOURS_SQL = f"""{PICTURES_SQL},
-placed AS (SELECT row_number() OVER () AS rid, l.l_orderkey, l.l_linenumber, t.*, (l_orderkey * 7 + CAST(l_quantity AS BIGINT)) % width AS x, (l_suppkey * 5 + l_linenumber) % height AS y, CAST(l_quantity AS BIGINT) AS q
-  FROM lineitem l JOIN tiled t ON t.pic_id = l.l_partkey),
+placed AS (SELECT l_orderkey, l_linenumber, t.*, (l_orderkey * 7 + CAST(l_quantity AS BIGINT)) % width AS x, (l_suppkey * 5 + l_linenumber) % height AS y, CAST(l_quantity AS BIGINT) AS q
+  FROM lineitem JOIN tiled t ON pic_id = l_partkey),
 pairs AS (SELECT *, x + q % 41 - 20 AS nx, y + l_orderkey % 33 - 24 AS ny FROM placed),
-bits AS (SELECT range AS b FROM range(6)),
-pos AS (SELECT rid, who, px, py, ctb, min_tb, ctb_w, ctb_h, cols, rows, slice_len, px >= 0 AND py >= 0 AND px < width AND py < height AS inside
-  FROM (SELECT *, 'cur' AS who, x AS px, y AS py FROM pairs UNION ALL SELECT *, 'nb' AS who, nx AS px, ny AS py FROM pairs)),
-addr AS (SELECT rid, who, inside, (py // ctb) * ctb_w + px // ctb AS ctu,
-  ((py // ctb) * ctb_w + px // ctb) * (ctb // min_tb) * (ctb // min_tb)
-   + list_sum(list_transform(range(6), lambda b: (((px % ctb // min_tb) >> b) % 2) * (1 << (2 * b)) + (((py % ctb // min_tb) >> b) % 2) * (2 << (2 * b)))) AS a,
-  (len(list_filter(range(rows), lambda i: i * ctb_h // rows <= py // ctb)) - 1) * cols + len(list_filter(range(cols), lambda i: i * ctb_w // cols <= px // ctb)) - 1 AS tile,
-  ((py // ctb) * ctb_w + px // ctb) // slice_len AS slice FROM pos WHERE inside),
-both_ AS (SELECT p.*, c.a AS cur_a, n.a AS nb_a, coalesce(n.a <= c.a AND n.slice = c.slice AND n.tile = c.tile, FALSE) AS available
-  FROM pairs p JOIN addr c ON c.rid = p.rid AND c.who = 'cur' LEFT JOIN addr n ON n.rid = p.rid AND n.who = 'nb')"""
+both_ AS (SELECT *, {_CUR["a"]} AS cur_a, nx >= 0 AND ny >= 0 AND nx < width AND ny < height
+  AND {_NB["a"]} <= {_CUR["a"]} AND {_NB["slice"]} = {_CUR["slice"]} AND {_NB["tile"]} = {_CUR["tile"]} AS available FROM pairs)"""
 
 
 def g1_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,13 +140,13 @@ w AS (SELECT l_orderkey, l_linenumber, {_WRAP.format("vx")} AS mv_x, {_WRAP.form
 SELECT *, mv_x AS c420_x, mv_y AS c420_y, mv_y * 2 AS c422_y FROM w""",
     "m3_merge": """WITH s AS (SELECT * FROM (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS pos,
   CASE WHEN l_returnflag <> 'R' THEN (l_partkey % 2) || ':' || (l_partkey % 3) || ':0' END AS l0, CASE WHEN l_returnflag <> 'A' THEN (l_suppkey % 2) || ':' || (l_suppkey % 2) || ':1' END AS l1,
-  l_orderkey % 5 + 1 AS most, l_orderkey % 2 = 0 AS both_ FROM lineitem) WHERE pos <= 5),
+  l_orderkey % 5 + 1 AS most, l_orderkey % 2 = 0 AS both_ FROM lineitem)),
 d AS (SELECT id, l0, l1, min(pos) AS pos, max(most) AS most, bool_or(both_) AS both_ FROM s GROUP BY id, l0, l1),
 lead_ AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM d),
 n AS (SELECT id, least(count(*), max(most)) AS n, max(most) AS most, bool_or(both_) AS both_ FROM d GROUP BY id),
 cand AS (SELECT id, l0, l1, k AS place FROM lead_ WHERE k <= most
-  UNION ALL SELECT a.id, a.l0, b.l1, 100 + a.pos * 10 + b.pos FROM s a JOIN s b ON a.id = b.id JOIN n ON n.id = a.id WHERE n.both_ AND a.pos <= n.n AND b.pos BETWEEN 2 AND n.n AND a.l0 IS NOT NULL AND b.l1 IS NOT NULL
-  UNION ALL SELECT id, i || ':0:0', CASE WHEN both_ THEN i || ':0:0' END, 1000 + i FROM (SELECT *, unnest(range(greatest(most, 1))) AS i FROM n)),
+  UNION ALL SELECT a.id, a.l0, b.l1, 1000 * a.pos + b.pos FROM s a JOIN s b ON a.id = b.id JOIN n ON n.id = a.id WHERE n.both_ AND a.pos <= n.n AND b.pos BETWEEN 2 AND n.n AND a.l0 IS NOT NULL AND b.l1 IS NOT NULL
+  UNION ALL SELECT id, i || ':0:0', CASE WHEN both_ THEN i || ':0:0' END, 1000000000 + i FROM (SELECT *, unnest(range(greatest(most, 1))) AS i FROM n)),
 first_ AS (SELECT id, l0, l1, min(place) AS place FROM cand GROUP BY id, l0, l1),
 r AS (SELECT id, l0, l1, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS rank FROM first_)
 SELECT r.id, r.rank, r.l0, r.l1 FROM r JOIN n USING (id) WHERE r.rank < n.most""",
