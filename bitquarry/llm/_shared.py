@@ -6,6 +6,11 @@ folder that ``spark.checkpoint.dir`` names, so a lost executor only costs the ta
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Hashable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,25 @@ from ..runtime import shared_path, ship
 BATCH_ROWS = 512
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept in this Python worker until another key is asked for.
+
+    Workers outlive their tasks and serve every operator of a job, so a worker holds one operator's tables at a time;
+    what the one before leaves goes back to the system.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # only where the C library has it
+            trim(0)
+        _held[key] = build()
+    return _held[key]
+
+
 def prepare(spark: SparkSession) -> None:
     """Send the package to the workers and bound the Arrow batches, so that memory doesn't follow the text length."""
     ship(spark)
@@ -37,6 +61,14 @@ def drop_spill(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one like it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

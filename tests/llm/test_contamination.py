@@ -55,3 +55,24 @@ def test_removal(spark):
     assert [r["doc_id"] for r in ct.decontaminate(docs, items).collect()] == [2, 3]
     spans = ct.decontaminate(docs, items, remove="spans")
     assert spans.columns == docs.columns and [r["text"] for r in spans.collect()] == ["Before.  after", "clean", None]
+
+
+def test_spans_do_not_depend_on_the_blocks(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 12), ("b", 8)))
+    third = " ".join(f"c{k}" for k in range(10))  # stands right behind the first item's words
+    rows = [(1, f"{first} {second}"), (2, f"x {first}, y"), (2, f"x {first}, y"), (None, "clean"), (4, None), (5, f"{first}; {third} z")]
+    items = [(1, first), (9, third), (2, " ".join(first.split()[8:]) + " " + second)] + [(k, f"other{k} " * 12) for k in range(3, 9)]
+    docs, bench = spark.createDataFrame([(d, t, "r", "d") for d, t in rows], DOCS + ", runs string, digest string"), spark.createDataFrame(items, ITEMS)
+    for limit in (1 << 20, 400):
+        out = ct.decontaminate(docs, bench, remove="spans", limit=limit)
+        assert out.columns == docs.columns
+        assert sorted((tuple(r)[:2] for r in out.collect()), key=str) == sorted([(1, ""), (2, "x , y"), (2, "x , y"), (None, "clean"), (4, None), (5, " z")], key=str)
+        assert sorted((r["doc_id"] for r in ct.decontaminate(docs, bench, limit=limit).collect()), key=str) == [4, None]
+        found = {r["id"]: (r["spans"], r["n_hit"]) for r in ct.contamination(docs, bench, limit=limit).collect()}
+        assert found[1] == ([0, len(rows[0][1])], 20) and found[2] == ([2, 2 + len(first)], 12) and found[4] == ([], 0)
+
+
+def test_spans_match_brute_force(spark):
+    rows, items = data(3)
+    one, many = (sorted(map(tuple, ct.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), limit=limit).select("id", "spans").collect())) for limit in (1 << 20, 700))
+    assert one == many and any(s for _, s in one)
