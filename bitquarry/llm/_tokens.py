@@ -14,15 +14,15 @@ from __future__ import annotations
 import os
 import re
 import string
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from ._shared import held
 from ._words import blocks, prefix_hash, substring_hash
 
-#: Words whose ids a worker keeps; when there are more it starts anew.
-CACHED = 1_500_000
+#: Words whose ids a worker keeps, 24 bytes each and their ids; when there are more it starts anew.
+CACHED = 500_000
 #: Bytes of text that are encoded at a time.
 BLOCK = 2 << 20
 #: Signs that are a piece of their own behind letters; an apostrophe may not be.
@@ -71,8 +71,8 @@ class Encoder:
     def _clear(self) -> None:
         self.key = np.zeros(0, np.uint64)  # sorted
         self.check = np.zeros(0, np.uint64)  # the words' lengths and last bytes
-        self.at = np.zeros(0, np.int64)  # of their ids
-        self.many = np.zeros(0, np.int64)  # -1: white space that isn't a single space between two words
+        self.at = np.zeros(0, np.uint32)  # of their ids
+        self.many = np.zeros(0, np.int32)  # -1: white space that isn't a single space between two words
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str], known: dict[str, bytes | None], before: str) -> None:
@@ -133,9 +133,9 @@ class Encoder:
             if which := np.flatnonzero(kind == k).tolist():
                 for k, ids in zip(which, self._learn([words[k] for k in which], before), strict=True):
                     found[k] = ids
-        many = np.array([-1 if f is None else len(f) // 4 for f in found], np.int64)
+        many = np.array([-1 if f is None else len(f) // 4 for f in found], np.int32)
         ids = np.frombuffer(b"".join([f for f in found if f]), "<u4")
-        start_ = len(self.ids) + np.cumsum(np.maximum(many, 0)) - np.maximum(many, 0)
+        start_ = (len(self.ids) + np.cumsum(np.maximum(many, 0)) - np.maximum(many, 0)).astype(np.uint32)
         self.ids = np.concatenate([self.ids, ids])
         put = np.searchsorted(self.key, key)
         self.key, self.check, self.at, self.many = (np.insert(a, put, b) for a, b in ((self.key, key), (self.check, check), (self.at, start_), (self.many, many)))
@@ -176,7 +176,7 @@ class Encoder:
         odd = (many < 0) | (self.check[row] != check)  # or two words with one hash
         begin = np.flatnonzero(kind == 0)
         many = np.maximum(many, 0)
-        total = np.concatenate([[0], np.cumsum(many)])
+        total = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
         ids = self.ids[np.repeat(self.at[row] - total[:-1], many) + np.arange(total[-1])]
         bounds = np.append(total[begin], total[-1]) if len(begin) else np.zeros(1, np.int64)
         if odd.any():
@@ -194,15 +194,18 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         return [x for _, x in self.encode_rows(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]))]
 
+    def encode_blocks(self, batch: pa.RecordBatch, column: str = "text"):
+        """(first row, row behind the last, ids, bounds) of all texts of a batch, a block at a time; null counts as empty."""
+        for i, j, data, offsets in blocks(batch, column, BLOCK):
+            yield i, j, *self.encode_block(data, offsets)
+
     def encode_rows(self, batch: pa.RecordBatch, column: str = "text"):
         """(row, ids) of all texts of a batch in order; null counts as empty."""
-        for i, j, data, offsets in blocks(batch, column, BLOCK):
-            ids, bounds = self.encode_block(data, offsets)
+        for i, j, ids, bounds in self.encode_blocks(batch, column):
             cut, raw = (bounds * 4).tolist(), ids.astype("<u4", copy=False).tobytes()
             for k in range(j - i):
                 yield i + k, raw[cut[k] : cut[k + 1]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))

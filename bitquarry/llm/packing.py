@@ -97,20 +97,22 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray,
 
 def _cut(path: str, end: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            docs = batch.column("doc_id").to_pylist()
-            for row, ids in encoder(path).encode_rows(batch):
-                doc, ids = docs[row], memoryview(ids + tail)
-                n, start = len(ids) // 4, 0
-                length = (n - 1) % capacity + 1  # the first piece takes the remainder
-                for piece in range(-(-n // capacity)):
-                    rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                    start, length = start + length, capacity
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for i, j, ids, bounds in encoder(path).encode_blocks(batch):
+                begin = bounds + np.arange(j - i + 1)  # with an end id behind each text
+                full = np.full(begin[-1], end, "<u4")
+                full[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(bounds))] = ids
+                n = np.diff(begin)
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                first = ((n - 1) % capacity + 1)[row]  # the first piece takes the remainder
+                length = np.where(piece == 0, first, capacity)
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                raw, lo = memoryview(full).cast("B"), 4 * (begin[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
+                out = [batch.column("doc_id").slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -6,12 +6,16 @@ Levenshtein automaton and run against the trie, so misspelled terms are found to
 window of words: inside quotation marks or right after a reporting word it is a quotation, which counts apart from
 abuse, and near a word of address it counts as such. From the other half of the sample a logistic regression learns how much matches, misspellings and
 contexts weigh, in number and in density. Every document is scored over its whole text in one scan without shuffles.
+
+Words are runs of letters, marks and digits of any script, lower-cased; all other characters part them. In scripts
+that are written without spaces a word begins at each character and is ``UNSPACED`` characters long at most.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,29 +27,108 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import prepare, spill, table
+from ._shared import held, prepare, spill, table
 from ._words import NORMAL
 
 #: Labelled rows that the classifier is fitted on at most; the first by a hash of their id.
 LABELLED = 16_000
-#: Terms of the lexicon at most, characters of a stem, and documents that a term must have.
-TERMS, STEM, SUPPORT = 200, (3, 9), 6
-#: Occurrences of a term in a document that count.
+
+# Parameters of the model, the same at every size of the corpus.
+#: Characters of a stem, and documents of the sample that a term must stand in.
+STEM, SUPPORT = (3, 9), 6
+#: Occurrences of a term in one document that count when terms are chosen.
 BURST = 8
-#: How much more frequent among their words a term must be in toxic documents.
-RATIO = 6.0
+#: How much more frequent among their words a term must be in toxic documents, and how surely (natural units of likelihood).
+RATIO, SURE = 6.0, 8.0
 #: Words on each side of a match that are its context, and words before it where a reporting word makes it reported speech.
 CONTEXT, REPORTED = 8, 4
-#: Different words that a worker remembers.
-REMEMBERED = 400_000
+#: Characters of a word of a script without spaces.
+UNSPACED = 8
+#: Different words that a worker remembers; when there are more it starts anew.
+REMEMBERED = 200_000
 
 # Words of address and words that report speech, in the languages of the corpus.
 ADDRESS = frozenset("you your youre u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti tus usted ustedes vos".split())
 REPORT = frozenset("said says wrote writes called quote quoted quotes reported sagte sagt schrieb nannte zitat zitiert dit disait écrit écrivit appelé cite citation dijo dice escribió llamó cita citado".split())
-QUOTES = '"“”„«»‹›'
-
-_TABLE = NORMAL.tobytes()
-_QUOTED = re.compile('"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‹[^›\n]{1,400}›')
+#: The signs that end a quotation, by the one that begins it; within a family one quotation is open at a time.
+MARKS = ({'"': '"'}, {"“": "”", "„": "“”"}, {"«": "»", "»": "«"}, {"‹": "›", "›": "‹"})
+
+_ADDRESS, _REPORT = (frozenset(w.encode() for w in words) for words in (ADDRESS, REPORT))
+_FAMILY = {mark: k for k, family in enumerate(MARKS) for pair in family.items() for mark in "".join(pair)}
+_MARK = re.compile("|".join(map(re.escape, _FAMILY)))
+#: What marks and line feeds are in a list of words: control characters, which no word holds.
+_SIGN = {mark: chr(1 + k) for k, mark in enumerate(_FAMILY)}
+_MEANT = {sign.encode(): mark for mark, sign in _SIGN.items()}
+_BREAK = b"\x1f"
+_PLAIN = NORMAL.tobytes()
+_table = NORMAL.copy()
+_table[[ord(sign) for sign in _SIGN.values()]] = [ord(sign) for sign in _SIGN.values()]
+_table[10] = _BREAK[0]
+_MARKED = _table.tobytes()
+#: Thai, Lao, Burmese and Khmer, kana, and the ideographs.
+_NO_SPACES = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _in_word(char: str) -> bool:
+    return char.isalnum() or unicodedata.category(char)[0] == "M"
+
+
+def words_of(text: str, marked: bool = False) -> list[bytes]:
+    """The words of a lower-cased text; with the signs of quotation marks and line feeds among them if ``marked``."""
+    if not text.isascii():
+        for char in set(text):
+            if char > "\x7f" and not _in_word(char) and not (marked and char in _FAMILY):
+                text = text.replace(char, " ")
+    if marked:
+        text = re.sub("[\x01-\x1f]", lambda m: "\n" if m[0] == "\n" else " ", text).replace("\n", " \n ")
+        text = _MARK.sub(lambda m: f" {_SIGN[m[0]]} ", text)
+    out = text.encode().translate(_MARKED if marked else _PLAIN).split(b" ")
+    out = [w for w in out if w]
+    if not text.isascii() and _NO_SPACES.search(text):
+        out = [part for w in out for part in _unspaced(w)]
+    return out
+
+
+def _unspaced(word: bytes) -> list[bytes]:
+    """A word, or where it holds a run of a script without spaces, the words that begin at each of its characters."""
+    text = word.decode()
+    out, at = [], 0
+    for run in _NO_SPACES.finditer(text):
+        out += [text[at : run.start()], *(run[0][k : k + UNSPACED] for k in range(len(run[0])))]
+        at = run.end()
+    return [w.encode() for w in [*out, text[at:]] if w]
+
+
+def quoted_words(tokens: list[bytes]) -> tuple[list[bytes], list[bool]]:
+    """The words of a marked list, and whether each one stands between two marks that belong together.
+
+    A quotation ends within its line; a mark that isn't answered there quotes nothing. Marks of one family don't
+    care for those of another, so quotations of either kind may lie in one another.
+    """
+    words: list[bytes] = []
+    edge = Counter()
+    begun: list[tuple[str, int] | None] = [None] * len(MARKS)
+    for token in tokens:
+        mark = _MEANT.get(token)
+        if mark is not None:
+            family = _FAMILY[mark]
+            was = begun[family]
+            if was and mark in MARKS[family][was[0]]:
+                edge[was[1]] += 1
+                edge[len(words)] -= 1
+                begun[family] = None
+            elif mark in MARKS[family]:
+                begun[family] = mark, len(words)
+        elif token == _BREAK:
+            begun = [None] * len(MARKS)
+        else:
+            words.append(token)
+    depth, inside = 0, []
+    for k in range(len(words)):
+        depth += edge.get(k, 0)
+        inside.append(depth > 0)
+    return words, inside
 
 
 class Shapes:
@@ -153,6 +236,7 @@ class Lexicon:
                     halves.setdefault((m + shift, len(body) - m), set()).add(body[m:])
         self.halved = [(at, at + n, found) for (at, n), found in halves.items()]
         self.shortest = 4  # a term of five characters less one
+        self.longest = max(map(len, terms), default=0) + 2  # what follows decides nothing: a whole term would be two edits away
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
         self.known: dict[bytes, tuple[str, int] | None] = {}
 
@@ -163,6 +247,7 @@ class Lexicon:
         for n in self.sizes:
             if word[:n] in self.stems:
                 return self.stems[word[:n]], 0
+        word = word[: self.longest]
         if len(word) >= self.shortest:
             for at, end, halves in self.halved:  # one edit leaves one half of the term as it is, moved by one character at most
                 if word[at:end] in halves:
@@ -191,11 +276,13 @@ class Lexicon:
 
     def matches(self, words: list[bytes]) -> list[tuple[int, str, int]]:
         """(position, term, distance) of the words that match."""
-        known = self.known
+        known, most = self.known, 4 * self.longest
         if len(known) > REMEMBERED:
             known.clear()
+        if max(map(len, words), default=0) > most:
+            words = [w[:most] for w in words]  # bytes of more characters than decide
         for w in set(words).difference(known):
-            known[w] = self.lookup(w.decode()) if len(w) <= 64 else None
+            known[w] = self.lookup(w.decode(errors="ignore"))
         return [(i, *m) for i, m in enumerate(map(known.__getitem__, words)) if m]
 
 
@@ -205,19 +292,19 @@ FEATURES = ("exact", "exact density", "weight", "weight density", "misspelled",
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The numbers that a document is judged by; all 0 for a text without a match, but for its length."""
     lowered = (text or "").lower()
-    words = lowered.encode().translate(_TABLE).split()
+    words = words_of(lowered)
     found = lexicon.matches(words)
     n = len(words)
     quoted = address = 0
     abuse = []
     if found:
-        marks = _inside_quotes(lowered) if any(q in lowered for q in QUOTES) else None
+        inside = quoted_words(words_of(lowered, True))[1] if _MARK.search(lowered) else None
         for i, t, d in found:
-            if (marks is not None and i < len(marks) and marks[i]) or not REPORT.isdisjoint(w.decode() for w in words[max(0, i - REPORTED) : i]):
+            if (inside is not None and inside[i]) or not _REPORT.isdisjoint(words[max(0, i - REPORTED) : i]):
                 quoted += 1
                 continue
             abuse.append((t, d))
-            if not ADDRESS.isdisjoint(w.decode() for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]):
+            if not _ADDRESS.isdisjoint(words[max(0, i - CONTEXT) : i + CONTEXT + 1]):
                 address += 1
     exact = [t for t, d in abuse if d == 0]
     near = len(abuse) - len(exact)
@@ -226,18 +313,6 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [math.log1p(len(exact)), len(exact) * per, math.log1p(weight), weight * per, math.log1p(near), near * per, quoted * per, address * per, math.log1p(len(set(exact))), math.log1p(n)]
 
 
-def _inside_quotes(text: str) -> list[bool]:
-    """For each word whether it lies between a pair of quotation marks."""
-    out: list[bool] = []
-    at = 0
-    for m in _QUOTED.finditer(text):
-        out += [False] * len(text[at : m.start()].encode().translate(_TABLE).split())
-        inner = m.group()[1:-1]
-        out += [True] * len(inner.encode().translate(_TABLE).split())
-        at = m.end()
-    return out + [False] * len(text[at:].encode().translate(_TABLE).split())
-
-
 class Model(NamedTuple):
     terms: dict[str, float]
     mean: np.ndarray
@@ -265,10 +340,13 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             side = 0 if toxic else 1
             own: Counter = Counter()
-            for word, n in Counter((text or "").lower().encode().translate(_TABLE).split()).items():
+            for word, n in Counter(words_of((text or "").lower())).items():
                 counts[side][""] += n
-                if 3 <= len(word) <= 64:
-                    w = word.decode()
+                w = word.decode()
+                if _NO_SPACES.match(w):
+                    for k in range(2, len(w) + 1):
+                        own[w[:k] + "*"] += n
+                elif len(word) >= 3:
                     own[w] += n
                     for k in range(low, min(high, len(w)) + 1):
                         own[w[:k] + "*"] += n
@@ -280,26 +358,39 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (*counts, docs))], names=["term", "yes", "no", "docs"])
 
 
+def _likelihood(got, of, share):
+    """The terms of a log-likelihood ratio of one side: ``got`` of ``of`` words where ``share`` of all are expected; of columns or numbers."""
+    return [(got, of * share), (of - got, of * (1 - share))]
+
+
+def surprise(yes: int, no: int, n_yes: int, n_no: int) -> float:
+    """How surely a term's share differs between n_yes and n_no words, as the log of a likelihood ratio."""
+    share = (yes + no) / (n_yes + n_no)
+    return sum(x * math.log(x / want) for got, of in ((yes, n_yes), (no, n_no)) for x, want in _likelihood(got, of, share) if x and want)
+
+
+def _surprise_column(n_yes: int, n_no: int) -> Column:
+    share = (F.col("yes") + F.col("no")) / F.lit(n_yes + n_no)
+    parts = [_likelihood(F.col("yes"), F.lit(float(n_yes)), share), _likelihood(F.col("no"), F.lit(float(n_no)), share)]
+    return sum((F.when((x > 0) & (want > 0), x * F.log(x / want)).otherwise(0.0) for side in parts for x, want in side), F.lit(0.0))
+
+
 def choose_terms(rows: list[tuple[str, int, int]], n_yes: int, n_no: int) -> dict[str, float]:
     """Terms by how surely they tell toxic words apart, none of which begins another; the log of how much more frequent each is.
 
-    rows: (term, occurrences in toxic documents, in others); n_yes and n_no are all words of both.
+    rows: (term, occurrences in toxic documents, in others); n_yes and n_no are all words of both. Of terms that are
+    equally sure, words come before stems, then longer terms, then the alphabet decides.
     """
-
-    def surprise(yes: int, no: int) -> float:
-        out = 0.0
-        share = (yes + no) / (n_yes + n_no)
-        for got, of in ((yes, n_yes), (no, n_no)):
-            for x, p in ((got, share), (of - got, 1 - share)):
-                if x and p:
-                    out += x * math.log(x / (of * p))
-        return out
-
     chosen: dict[str, float] = {}
-    for term, yes, no in sorted(rows, key=lambda r: (-round(surprise(r[1], r[2]), 6), r[0].endswith("*"), -len(r[0]), r[0])):
+    bodies: set[str] = set()
+    begun: set[str] = set()  # all that the chosen ones begin with
+    for term, yes, no in sorted(rows, key=lambda r: (-round(surprise(r[1], r[2], n_yes, n_no), 6), r[0].endswith("*"), -len(r[0]), r[0])):
         body = term.rstrip("*")
-        if len(chosen) < TERMS and not any(body.startswith(c.rstrip("*")) or c.startswith(body) for c in chosen):
+        starts = {body[:k] for k in range(1, len(body) + 1)}
+        if body not in begun and bodies.isdisjoint(starts):
             chosen[term] = math.log((yes + 0.5) / (n_yes + 1) * (n_no + 1) / (no + 0.5))
+            bodies.add(body)
+            begun |= starts
     return chosen
 
 
@@ -333,7 +424,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn lexicon and factors from at most ``labelled`` rows of ``labels`` that aren't held out.
 
     Labels that are null, or whose id is, are not used; of several labels of an id the largest counts. Without
-    toxic or other labels the lexicon is empty and every score is the share of toxic rows (0 without any label).
+    toxic or other labels the lexicon is empty and every score is the share of toxic rows (0 without any label). Of an
+    id that names several texts each one is learned from. Nulls and empty texts are texts of no words; texts and words
+    may be of any length.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -349,8 +442,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sums = spill(counted.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("docs").alias("docs")).where(f"docs >= {SUPPORT} or term = ''"), "terms")
         n_yes, n_no = sums.where("term = ''").select("yes", "no").first() or (0, 0)
         often = sums.where("term <> ''").where((F.col("yes") + 0.5) * (n_no + 1) >= RATIO * (F.col("no") + 0.5) * (n_yes + 1))
-        best = often.orderBy(F.desc(F.col("yes") - F.col("no") * (n_yes / max(1, n_no))), "term").limit(40 * TERMS)
-        terms = choose_terms([(r["term"], r["yes"], r["no"]) for r in best.collect()], n_yes, n_no)
+        sure = often.where(_surprise_column(n_yes, n_no) >= SURE)  # of the bounded sample
+        terms = choose_terms([(r["term"], r["yes"], r["no"]) for r in sure.collect()], n_yes, n_no)
     shared = spark.sparkContext.broadcast(terms)
     rows = texts.where(~first).mapInArrow(_train_rows(shared), "features array<double>, toxic int").collect()  # bounded by the sample
     x = np.array([r["features"] for r in rows], np.float64).reshape(-1, len(FEATURES))
@@ -364,14 +457,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(terms, *fit_logistic(x[order], y[order]))
 
 
-@lru_cache(maxsize=4)
-def _lexicon(terms: tuple[tuple[str, float], ...]) -> Lexicon:
-    return Lexicon(dict(terms))
+def _lexicon(terms: dict[str, float]) -> Lexicon:
+    return held(("lexicon", tuple(terms.items())), lambda: Lexicon(terms))
 
 
 def _train_rows(terms: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _lexicon(tuple(terms.value.items()))
+        lexicon = _lexicon(terms.value)
         for batch in batches:
             rows = [features(t, lexicon) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["features", "toxic"])
@@ -380,7 +472,7 @@ def _train_rows(terms: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def _score(model: Broadcast, texts: pa.Array) -> np.ndarray:
-    lexicon = _lexicon(tuple(model.value.terms.items()))
+    lexicon = _lexicon(model.value.terms)
     rows = np.array([features(t, lexicon) for t in texts.to_pylist()], np.float64).reshape(-1, len(FEATURES))
     return model.value.score(rows)
 

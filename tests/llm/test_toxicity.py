@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -103,6 +105,100 @@ def test_quotation_counts_apart_from_abuse():
     assert direct[at("address density")] > 0 == direct[at("quoted density")]
 
 
+def plain_words(text):
+    """(start, word) of a lower-cased text, character by character."""
+    out, run = [], ""
+    for k, c in enumerate(text + " "):
+        if c in "0123456789abcdefghijklmnopqrstuvwxyz" or c > "\x7f" and (c.isalnum() or unicodedata.category(c).startswith("M")):
+            run += c
+            continue
+        at = k - len(run)
+        spaced = ""
+        for i, x in enumerate(run):
+            if "ก" <= x <= "๛" or "぀" <= x <= "ヿ" or "一" <= x <= "鿿":
+                if spaced:
+                    out.append((at + i - len(spaced), spaced))
+                    spaced = ""
+                rest = run[i:]
+                end = next((j for j, y in enumerate(rest) if not ("ก" <= y <= "๛" or "぀" <= y <= "ヿ" or "一" <= y <= "鿿")), len(rest))
+                out.append((at + i, rest[: min(end, 8)]))
+            else:
+                spaced += x
+        if spaced:
+            out.append((at + len(run) - len(spaced), spaced))
+        run = ""
+    return out
+
+
+def plain_quotations(text):
+    """Character ranges between marks that belong together."""
+    out, base = [], 0
+    for line in text.split("\n"):
+        for pairs in ([('"', '"')], [("“", "”"), ("„", "“"), ("„", "”")], [("«", "»"), ("»", "«")], [("‹", "›"), ("›", "‹")]):
+            begun = None
+            for k, c in enumerate(line):
+                if begun and (line[begun[0]], c) in pairs:
+                    out.append((base + begun[0], base + k))
+                    begun = None
+                elif any(c == a for a, _ in pairs):
+                    begun = (k,)
+        base += len(line) + 1
+    return out
+
+
+def plain_features(text, terms):
+    text = (text or "").lower()
+    words, spans = plain_words(text), plain_quotations(text)
+    exact, near, quoted, address = [], 0, 0, 0
+    for k, (at, w) in enumerate(words):
+        hit = next((t for t in terms if t == w), None) or next((t for t in sorted(terms, key=len, reverse=True) if t.endswith("*") and w.startswith(t[:-1])), None)
+        close = False
+        for t in terms if not hit else ():
+            body = t.rstrip("*")
+            if len(body) >= (6 if t.endswith("*") else 5):
+                close |= min(edits(body, w[:n]) for n in (range(min(len(w), len(body) + 2) + 1) if t.endswith("*") else [len(w)])) <= 1
+        if not hit and not close:
+            continue
+        if any(a < at < b for a, b in spans) or any(w in tx.REPORT for _, w in words[max(0, k - 4) : k]):
+            quoted += 1
+            continue
+        if hit:
+            exact.append(hit)
+        else:
+            near += 1
+        address += any(w in tx.ADDRESS for _, w in words[max(0, k - 8) : k + 9])
+    per = 100 / (len(words) + 20)
+    weight = sum(terms[t] for t in exact)
+    return [math.log1p(len(exact)), len(exact) * per, math.log1p(weight), weight * per, math.log1p(near), near * per, quoted * per, address * per, math.log1p(len(set(exact))), math.log1p(len(words))]
+
+
+def test_features_match_a_plain_version():
+    rng = random.Random(11)
+    terms = {"grubnork": 2.0, "zorbel*": 3.0, "idiot": 1.5, "馬鹿*": 2.5, "ขยะ*": 1.0, "élan": 0.5}
+    lexicon = tx.Lexicon(terms)
+    parts = ["Grubnork", "grubnrok", "grubnorkk", "ZORBELING", "zorbe", "idiot", "IDIOT", "idoit", "idiots", "élan", "você", "क्षि", "彼は馬鹿だよね", "こいつ馬鹿", "นี่คือขยะจริง", "said", "you", "tu", "hello", "world", "x" * 300, "grubnork" + "y" * 100, "İstanbul"]
+    marks = list('"“”„«»‹›') + ["—", "…", ",", ".", "\n", "\t", " ", " ", " ", " ", "’", "\x01", "\x1f", "\r\n", "¿", "\u00a0"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + "".join(rng.choice(marks) for _ in range(rng.randrange(1, 3))) for _ in range(rng.randrange(0, 14)))
+        assert tx.features(text, lexicon) == pytest.approx(plain_features(text, terms)), text
+
+
+def test_quotations_of_typographic_marks_and_of_any_length():
+    lexicon = tx.Lexicon({"idiot": 5.0})
+    at = tx.FEATURES.index
+    long = "word " * 500
+    for text in ("il a crié « tu es idiot » hier", "er rief „idiot“ laut", "they yelled “idiot” then", f'they yelled "{long} idiot {long}" then', "sie rief »idiot« laut"):
+        assert tx.features(text, lexicon)[at("quoted density")] > 0 == tx.features(text, lexicon)[at("exact")], text
+    for text in ("idiot—really", "an unanswered \" mark\nidiot \" here", "¡idiot!", "5\" pipe, idiot"):
+        assert tx.features(text, lexicon)[at("exact")] > 0 == tx.features(text, lexicon)[at("quoted density")], text
+
+
+def test_sure_terms_are_all_chosen_and_none_begins_another():
+    rows = [(f"term{k:04d}", 40 + k % 7, 0) for k in range(900)] + [("term*", 3, 1), ("term0001x", 50, 0)]
+    got = tx.choose_terms(rows, 100_000, 900_000)
+    assert len(got) == 900 and "term0001" not in got and "term0001x" in got and "term*" not in got
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "moron " * 30_000, None), (1, "x", "c")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
