@@ -3,9 +3,11 @@
 Markup is stripped into lines, one per block of the page in page order. The length of a line is its text's, but 0
 where it belongs to a menu, header, footer, sidebar, notice, advert, form, comment or other part that isn't the
 article, or where it is little but links. The distribution is the sum of the lengths over windows of ``WINDOW``
-lines. The main text goes from the first run of lines whose sums rise over a threshold, the surge, to the dive of the
-last, where the sums fall to nothing. Boxes within a text (adverts, forms, newsletters) have no line in it. A page that
-marks its articles is read from the marked lines alone, without those of teasers.
+lines. On every page the main text goes from the first run of lines whose sums rise over a threshold, the surge, to
+the dive of the last, where the sums fall to nothing. Boxes within a text (adverts, forms, newsletters) have no line in
+it. Marks of an article weigh: while marked lines hold more than a share of ``1 / MARKED`` of the text, others count
+nothing, and a marked element that the surge or the dive falls into belongs to the text as a whole, so its title, its
+byline and a short last line do. A single line of links between two lines of text is text, a row of them is a menu.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from ._shared import prepare, table
 WINDOW = 3
 #: The sum over a window at which an unmarked page's text begins, and the share of links that makes a menu.
 SURGE, LINKS = 80, 0.6
+#: How many times as much as marked lines others may hold before the marks count for nothing.
+MARKED = 8
+#: Characters from which a text block within an article is text whatever its class is called: notices and adverts are shorter.
+LONG = 3 * SURGE
 
 # Elements by what they are for.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video map title textarea select datalist".split())
@@ -41,6 +47,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|side-?bar\w*|aside|ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|breadcrumbs?|pagination|pager|widgets?|toolbar|search|copyright|legal|skip-link|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Blocks that hold one piece of text.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td figcaption".split())
 #: Of these, what stands within a text: it ends none.
 BOXES = frozenset("aside form button label fieldset".split())
 BOX_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|newsletter|subscribe|subscription|signup|sign-up|share|sharing|social|related|recommend\w*|widgets?)(?:$|[\s_-])", re.I)
@@ -69,6 +77,7 @@ class Line(NamedTuple):
     linked: int  # characters of its text that are links
     box: bool  # whether all asides that it lies in are boxes within a text
     teaser: bool  # whether its article is called a teaser or an aside
+    named: bool  # whether it is an aside only as the text block itself is called so
 
 
 def _is_aside(name: str, attrs: str) -> bool:
@@ -102,7 +111,8 @@ def page_lines(page: str) -> list[Line]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, article, mains > 0, bool(asides), linked, bool(asides) and all(a[3] for a in asides), teaser and article > 0))
+            named = len(asides) == 1 and asides[0][0] in TEXT_BLOCKS
+            out.append(Line(text, article, mains > 0, bool(asides), linked, bool(asides) and all(a[3] for a in asides), teaser and article > 0, named))
         parts.clear()
         linked = 0
 
@@ -173,40 +183,12 @@ def page_lines(page: str) -> list[Line]:
     return out
 
 
-def surge_and_dive(lengths: np.ndarray, window: int = WINDOW, threshold: int = SURGE) -> tuple[int, int]:
-    """The range of lines from the surge to the dive of the run that holds most text; (0, 0) without text.
-
-    A run goes on while the sums over the windows that begin in it are above 0, so up to ``window - 1`` empty lines
-    in a row lie inside it. Without a sum over the threshold the longest run is taken from its first line on.
-    """
-    n = len(lengths)
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    best = (0, 0, 0)
-    i = 0
-    while i < n:
-        if not sums[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and sums[j]:
-            j += 1
-        over = np.flatnonzero(sums[i:j] >= threshold)
-        surge = i + int(over[0]) if len(over) else i
-        while surge < j and not lengths[surge]:
-            surge += 1
-        held = int(total[j] - total[surge])
-        if held > best[0]:
-            best = held, surge, j
-        i = j
-    return best[1], best[2]
-
-
 def text_range(lengths: np.ndarray, window: int = WINDOW, threshold: int = SURGE) -> tuple[int, int]:
     """The range of lines from the first line of the first run with a surge to the dive of the last one.
 
-    Runs are those of ``surge_and_dive``. Short lines before a surge are its title, byline or date. Without a sum over
-    the threshold all runs count.
+    A run goes on while the sums over the windows that begin in it are above 0, so up to ``window - 1`` empty lines
+    in a row lie inside it. Short lines before a surge are its title, byline or date. Without a sum over the threshold
+    all runs count; (0, 0) without text.
     """
     n = len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths)])
@@ -223,35 +205,62 @@ def text_range(lengths: np.ndarray, window: int = WINDOW, threshold: int = SURGE
 
 def _articles(lines: list[Line]) -> set[int]:
     """The article elements with text that aren't teasers: by name, or a linked heading with few lines; all if each is."""
-    held: dict[int, list[Line]] = {}
+    found: dict[int, list[Line]] = {}
     for line in lines:
         if line.article and not line.aside:
-            held.setdefault(line.article, []).append(line)
-    for teaser in (lambda x: x[0].teaser, lambda x: len(x) <= WINDOW and x[0].linked > LINKS * len(x[0].text)):
-        held = {k: x for k, x in held.items() if not teaser(x)} or held
-    return set(held)
+            found.setdefault(line.article, []).append(line)
+    for teaser in (lambda x: x[0].teaser, lambda x: len(x) <= WINDOW and _links(x[0])):
+        found = {k: x for k, x in found.items() if not teaser(x)} or found
+    return set(found)
+
+
+def _links(line: Line) -> bool:
+    return line.linked > LINKS * len(line.text)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by line feeds. Null and empty pages have none."""
     lines = page_lines(page or "")
     which = _articles(lines)
-    if which:  # marked: all its lines
-        return "\n".join(x.text for x in lines if x.article in which and not x.aside)
-    if any(x.main and not x.aside for x in lines):
-        return "\n".join(x.text for x in lines if x.main and not x.aside)
-    lines = [x for x in lines if not x.box]
-    lengths = np.array([0 if x.aside or x.linked > LINKS * len(x.text) else len(x.text) for x in lines], np.int64)
-    lo, hi = text_range(lengths)
-    return "\n".join(x.text for x, n in zip(lines[lo:hi], lengths[lo:hi], strict=True) if n)
+    if which:
+        part = [x.article if x.article in which else 0 for x in lines]
+    else:
+        part = [int(x.main) for x in lines]
+    marked = np.array([k > 0 for k in part], bool)
+    aside = np.array([x.aside and not (x.named and x.article > 0 and len(x.text) >= LONG and not _links(x)) for x in lines], bool)
+    if which:  # teasers
+        aside |= np.array([x.article > 0 and x.article not in which for x in lines], bool)
+    lengths = np.array([len(x.text) for x in lines], np.int64)
+    lengths[aside] = 0
+    links = np.array([_links(x) for x in lines], bool) & ~marked
+    trusted = int(lengths[marked].sum()) * MARKED > int(lengths[~marked & ~links].sum())
+    if trusted and marked.any():
+        lengths[~marked] = 0
+    weights = np.where(links, 0, lengths)
+    shown = np.array([not (x.box and out) for x, out in zip(lines, aside, strict=True)], bool)  # boxes end no run
+    at = np.flatnonzero(shown)
+    lo, hi = text_range(weights[at])
+    chosen = at[lo:hi]
+    if trusted and len(chosen):
+        touched = {part[k] for k in chosen.tolist() if weights[k]}
+        chosen = np.array([k for k in at.tolist() if part[k] in touched or chosen[0] <= k <= chosen[-1]], np.int64)
+    out = []
+    for n, k in enumerate(chosen.tolist()):
+        alone = lengths[k] and 0 < n < len(chosen) - 1 and weights[chosen[n - 1]] and weights[chosen[n + 1]]
+        if weights[k] or alone:
+            out.append(lines[k].text)
+    return "\n".join(out)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the page column replaced by the main text, all other columns as they are; nothing is shuffled.
 
-    Null and empty pages, and pages without an article, give the empty text. Repeated rows each give a row.
+    Null and empty pages, and pages without an article, give the empty text. Repeated rows each give a row. Pages may
+    be of any length. Of articles that are alike all count, in page order. A column that is already called ``text_col``
+    gives way to the main text.
     """
     prepare(pages.sparkSession)
+    pages = pages.select(*(c for c in pages.columns if c == html_col or c.lower() != text_col.lower()))
     at = pages.columns.index(html_col)
     names = [text_col if c == html_col else c for c in pages.columns]
 
