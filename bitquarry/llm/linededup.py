@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment of documents that share rare lines.
 
-The lines of all documents are hashed, and every line long enough to tell texts apart points to the first document
-that has it; so does every run of shorter lines that is just long enough for a block. A later document is aligned
-with each earlier document that owns one of its lines or runs, so the number of alignments is bounded by the number
-of lines, also where thousands of copies share a line. An alignment is a patience diff: lines that occur once in both
+The lines of all documents are hashed, and so is every run of shorter lines that is just long enough for a block.
+Documents overlap where they share a rare one, which at most ``RARE`` documents have: all of them are aligned with one
+another. A frequent one points to the first document that has it, which each other document is aligned with, so no
+overlap is lost and the number of alignments is bounded by the number of lines, also where thousands of copies share a
+line. An alignment is a patience diff: lines that occur once in both
 documents are matched in their longest common order, the gaps between them are aligned the same way, and matches grow
 over equal lines on both sides. What it leaves is matched by the hashes of its runs, so blocks that stand more than
 once or in another order are found too. Runs of matched lines that hold enough words are deleted from the later
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import prepare, spill, table
+from ._shared import fresh, prepare, spill, table
 from ._words import blocks, mix, words
 
 #: Words of a line that can lead to an alignment by itself, and of an aligned block that is deleted.
 LINE_WORDS, BLOCK_WORDS = 6, 8
+#: Documents that have a rare line or run at most; all pairs of them are aligned.
+RARE = 4
 
 
 def patience_matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -204,7 +207,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, gone): the numbers of the lines, from 0, that each document with such lines loses.
 
-    Lines are compared by their words; lines end at a line feed. The earlier document is the one of the smaller id.
+    Lines are compared by their words, however few; lines end at a line feed. The earlier document is the one of the
+    smaller id, and a block that several earlier documents have goes once. Texts and lines may be of any length.
     Rows with a null id and null or empty texts lose nothing. Texts under one id are one document after the other
     and lose the lines that any of them would. An empty table gives no rows.
     """
@@ -215,8 +219,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lone = F.transform(F.filter(F.arrays_zip("lines", "n_words"), lambda x: x["n_words"] >= LINE_WORDS), lambda x: x["lines"])
     each = hashed.select("id", F.explode(F.array_union(lone, "runs")).alias("line")).distinct()
     # a table of its own, so that the join's inputs are plain shuffles and the rows of a frequent line can be split
-    owner = spill(each.groupBy("line").agg(F.min("id").alias("own"), F.count("*").alias("n")).where("n > 1").select("line", "own"), "owners")
-    pairs = spill(each.join(owner, "line").where("own < id").select("id", "own").distinct(), "line-pairs")
+    owner = spill(each.groupBy("line").agg(F.min("id").alias("own"), F.count("*").alias("n")).where("n > 1").select("line", "own", "n"), "owners")
+    rare = each.join(owner.where(f"n <= {RARE}").select("line"), "line").groupBy("line").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # RARE ids at most
+    met = F.explode(F.flatten(F.transform("ids", lambda x, k: F.transform(F.slice("ids", F.lit(1), k), lambda y: F.struct(x.alias("id"), y.alias("own"))))))
+    often = each.join(owner.where(f"n > {RARE}"), "line").where("own < id").select("id", "own")
+    pairs = spill(rare.select(met.alias("pair")).select("pair.id", "pair.own").unionAll(often).distinct(), "line-pairs")
     theirs = hashed.select(F.col("id").alias("own"), F.col("lines").alias("own_lines"))
     met = pairs.join(theirs, "own").join(hashed, "id").select("id", "lines", "n_words", "own_lines")
     found = met.mapInArrow(_align, "id long, gone array<int>").where(F.size("gone") > 0)
@@ -234,10 +241,12 @@ def cut_lines(text: str | None, gone: Sequence[int] | None) -> str | None:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True) -> DataFrame:
     """``docs`` with the repeated blocks cut from the later documents' texts, all other columns as they are.
 
-    A document that loses all its words is dropped unless ``drop_empty`` is false; one that had none stays.
+    A document that loses all its words is dropped unless ``drop_empty`` is false; one that had none stays. Columns may
+    be called anything.
     """
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    met = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    one, two = fresh(docs.columns, "id_"), fresh(docs.columns, "gone_")
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(one), F.col("gone").alias(two))
+    met = docs.join(gone, docs[id_col].cast("long") == F.col(one), "left").drop(one)
     at = docs.columns.index(text_col)
     schema = docs.schema
 

@@ -43,24 +43,11 @@ def test_longest_order_matches_quadratic():
 
 
 def brute(rows):
-    """The lines that go, from alignments of all documents with every earlier owner of one of their lines."""
+    """The lines that go: of all pairs of documents, what the later shares with the earlier. Nothing of the module is called."""
     from .brute import words
 
-    texts = {d: (t or "").split("\n") for d, t in rows}
-    hashed = {d: [hash(tuple(words(x))) if words(x) else 0 for x in ls] for d, ls in texts.items()}
-    count = {d: [len(words(x)) for x in ls] for d, ls in texts.items()}
-    owner = {}
-    for d in sorted(texts):
-        for h, n in zip(hashed[d], count[d], strict=True):
-            if n >= ld.LINE_WORDS:
-                owner.setdefault(h, d)
-    out = {}
-    for d in texts:
-        gone = set()
-        for e in {owner[h] for h, n in zip(hashed[d], count[d], strict=True) if n >= ld.LINE_WORDS} - {d}:
-            gone |= set(ld.common_blocks(hashed[d], hashed[e], count[d]))
-        out[d] = gone
-    return out
+    texts = {d: [tuple(words(x)) for x in (t or "").split("\n")] for d, t in rows}
+    return {d: {k for e in texts if e < d for k in shared_runs(texts[d], texts[e], [len(x) for x in texts[d]])} for d in texts}
 
 
 def shared_runs(a, b, n_words):
@@ -99,8 +86,6 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_of_short_lines_lead_to_alignments(spark):
-    from .brute import words
-
     verse = "\n".join(f"verse {k} of a song" for k in range(20))
     rows = [(1, "one\n" + verse), (2, "two\n\n" + verse.replace("\n", "\n\n")), (3, "verse 3 of a song")]
     got = dedup(spark, rows)
@@ -109,9 +94,17 @@ def test_blocks_of_short_lines_lead_to_alignments(spark):
     pool = [" ".join(f"w{k}" for _ in range(rng.randrange(1, 10))) for k in range(25)] + ["", " "]
     rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 16)))) for d in range(60)]
     gone = {r["id"]: r["gone"] for r in ld.repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    texts = [[tuple(words(x)) for x in t.split("\n")] for _, t in rows]
-    want = {d: sorted({k for e in range(d) for k in shared_runs(texts[d], texts[e], [len(x) for x in texts[d]])}) for d, _ in rows}
-    assert gone == {d: g for d, g in want.items() if g}
+    assert {d: set(g) for d, g in gone.items()} == {d: g for d, g in brute(rows).items() if g}
+
+
+def test_blocks_whose_lines_have_different_first_documents_go(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven"
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"own line\n{one}\n{two}")]
+    assert dedup(spark, rows) == {1: one, 2: two, 3: rows[2][1], 4: "own line"}
+    short = "\n".join(f"four words at {k}" for k in range(40))
+    assert dedup(spark, [(1, short), (2, short)]) == {1: short}
+    many = [(d, f"head {d}\n{one}\n{two}") for d in range(30)]  # more documents than a rare line has
+    assert dedup(spark, many) == {d: many[0][1] if d == 0 else f"head {d}" for d in range(30)}
 
 
 def test_later_copy_goes_and_the_first_stays(spark):
@@ -126,7 +119,7 @@ def test_edge_cases(spark):
     assert dedup(spark, []) == {}
     long_text = "\n".join(line(k) for k in range(20_000))
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, long_text), (6, long_text + "\nand one line more that is new"), (None, line(1)), (4, long_text)]
-    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA + ", gone int, own string")
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA + ", gone int, id_ string")
     got = [(r["doc_id"], r["text"]) for r in ld.dedup_lines(docs).collect()]
     want = [(1, None), (2, ""), (3, "\n\n"), (4, long_text), (4, long_text), (6, "and one line more that is new"), (None, line(1))]
     assert sorted(got, key=str) == sorted(want, key=str)
