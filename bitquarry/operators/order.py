@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arith import div
 from ..sources.tables import table
 
 #: Period of the low bits in the event streams.
 PERIOD = 16
 
 
-def wrap_step(lsb: Column, previous: Column, period: int) -> Column:
+def wrap_step(lsb: Column, previous: Column, period: int | Column) -> Column:
     """What the high part moves by when the low bits go from ``previous`` to ``lsb``."""
-    half = period // 2
-    return F.when(previous - lsb >= half, F.lit(period)).when(lsb - previous > half, F.lit(-period)).otherwise(F.lit(0)).cast("long")
+    whole = F.lit(period).cast("long")
+    half = div(whole, 2)
+    return F.when(previous - lsb >= half, whole).when(lsb - previous > half, -whole).otherwise(F.lit(0)).cast("long")
 
 
 def picture_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -28,7 +30,7 @@ def picture_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     )
 
 
-def order_counts(pictures: DataFrame, period: int = PERIOD) -> DataFrame:
+def order_counts(pictures: DataFrame, period: int | Column = PERIOD) -> DataFrame:
     """Adds ``poc``: random-access pictures count 0 and leave the memory alone; the others add up their wraps.
 
     One shuffle by stream; the memory is a lag and a running sum over the other pictures of the stream.

@@ -109,8 +109,8 @@ class BitReader:
         return reader(int(n)) if n else reader()
 
     def part(self, offset: int, length: int) -> BitReader:
-        """A reader of ``length`` bytes from a byte offset."""
-        if 8 * (offset + length) > self.end:
+        """A reader of ``length`` bytes from a byte offset of all the data."""
+        if length < 0 or offset + length > len(self.data):
             raise BitstreamError("unexpected end", "substream lies behind the data")
         return BitReader(self.data, 8 * offset, 8 * (offset + length))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -172,6 +173,12 @@ def as_of(rows: DataFrame, sets: DataFrame, key: str, value: str) -> DataFrame:
 HEADERS = "stream_id long, nal_idx long, header string, error string"
 
 
+@lru_cache(maxsize=256)
+def _loaded(fields: str) -> dict:
+    """The fields of a parameter set, which most slices of a batch share."""
+    return json.loads(fields)
+
+
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -180,7 +187,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if pps is None or sps is None:
                 error = "missing picture parameter set" if pps is None else "missing sequence parameter set"
             else:
-                s, p = json.loads(sps), json.loads(pps)
+                s, p = _loaded(sps), _loaded(pps)
                 size = 1 << s["log2_min_luma_coding_block_size_minus3"] + s["log2_diff_max_min_luma_coding_block_size"] + 3
                 blocks = -(-s["pic_width_in_luma_samples"] // size) * -(-s["pic_height_in_luma_samples"] // size)
                 try:

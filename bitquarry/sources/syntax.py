@@ -918,11 +918,11 @@ class _Run:
         return fields
 
     def steps(self, steps: list, fields: dict[str, Any], local: dict[str, Any]) -> None:
-        reader = self.reader
+        reader, scope = self.reader, ChainMap(fields, local)
 
-        def value(code, **more) -> Any:
+        def value(code) -> Any:
             # the expressions are the constants above
-            return code if code.__class__ is int else eval(code, _KNOWN, ChainMap(more, fields, local))
+            return code if code.__class__ is int else eval(code, _KNOWN, scope)
 
         for step in steps:
             kind = step[0]
@@ -948,8 +948,8 @@ class _Run:
                 else:
                     n = _bounded(value(count))
                     fields[name] = []
-                    for index in range(n):
-                        fields[name].append(self.table(table, value(args, index=index)))
+                    for local["index"] in range(n):
+                        fields[name].append(self.table(table, value(args)))
             elif kind == "let":
                 local[step[1]] = value(step[2])
             elif kind == "set":
