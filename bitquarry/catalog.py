@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE, in the order in which they are listed.
-MODULES = tuple(f"bitquarry.operators.{m}" for m in ("order", "references", "geometry", "planes", "blocks", "motion", "filters", "params", "streams", "entropy", "reconstruct", "decode")) + ("bitquarry.streaming.order",)
+MODULES = tuple(f"bitquarry.operators.{m}" for m in ("order", "references", "geometry", "planes", "blocks", "motion", "filters", "params", "streams", "entropy", "reconstruct", "decode", "readers")) + ("bitquarry.streaming.order",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

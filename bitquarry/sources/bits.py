@@ -248,7 +248,7 @@ def decode_bins(bins: str, scheme: str, c_max: int = 0, rice: int = 0, order: in
             return number(bins, k)
         if len(bins) != k + 1:
             raise BitstreamError("invalid syntax value", "bin string has the wrong length")
-        return number(bins, k + 1) - short
+        return number(bins, k + 1) - short & 0xFFFFFFFF  # a long form of a short value wraps
     elif scheme == "TR":
         if ones == len(bins):
             if ones != c_max >> rice:
