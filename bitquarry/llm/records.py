@@ -50,22 +50,18 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_file(path: str, attempt: str, records: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
-    """Write a record file and its index under names of this attempt, then move them into place: (records, ids)."""
+def write_file(path: str, records: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
+    """Write a record file and its index: (records, ids). The path must be one that no other attempt writes to."""
     files, at = _open(path)
     files.create_dir(at.rsplit("/", 1)[0], recursive=True)
     n = tokens = offset = 0
-    with files.open_output_stream(f"{at}.rec.{attempt}") as out, files.open_output_stream(f"{at}.idx.{attempt}") as index:
+    with files.open_output_stream(f"{at}.rec") as out, files.open_output_stream(f"{at}.idx") as index:
         for doc, ids in records:
             record = frame(doc, ids)
             out.write(record)
             index.write(_INDEX.pack(offset, len(ids) // width))
             offset += len(record)
             n, tokens = n + 1, tokens + len(ids) // width
-    for kind in ("rec", "idx"):
-        if files.get_file_info(f"{at}.{kind}").type != 0:  # of an attempt that was lost after its move
-            files.delete_file(f"{at}.{kind}")
-        files.move(f"{at}.{kind}.{attempt}", f"{at}.{kind}")
     return n, tokens
 
 
@@ -126,8 +122,8 @@ def _write(folder: str, tokenizer: str, end: int, width: int) -> Callable[[Itera
 
         context = TaskContext.get()
         shard = context.partitionId()
-        path = f"{folder}/part-{shard:06d}"
-        n, tokens = write_file(path, f"{context.stageId()}-{context.taskAttemptId()}", records(), width)
+        path = f"{folder}/part-{shard:06d}-{context.stageId()}-{context.taskAttemptId()}"
+        n, tokens = write_file(path, records(), width)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, path, n, tokens)], names=["shard", "path", "n_docs", "n_ids"])
 
     return run
@@ -158,15 +154,30 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str | None = No
     """Write all documents to record files in ascending id order; the manifest (shard, path, n_docs, n_ids).
 
     The texts are dealt by ranges of ids and sorted within them, so files in shard order are in id order; null
-    ids come first and equal ids by their text. Null and empty texts are the end id alone. A task that is run
-    again writes the same bytes and moves them over those of the lost attempt. The folder must be one that all
-    executors reach. An empty table has files without records.
+    ids come first and equal ids by their text. Null and empty texts are the end id alone. Each attempt of a task
+    writes to files of its own; the manifest names those of the attempt that counted, and the others are removed once
+    it is written, so nothing that can be read is ever moved or replaced. The folder must be one that all executors
+    reach and that holds nothing else. An empty table has files without records.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     tokenizer = tokenizer or vocabulary()
-    return spill(dealt.mapInArrow(_write(folder, tokenizer, end, id_width(tokenizer)), "shard long, path string, n_docs long, n_ids long"), "manifest")
+    manifest = spill(dealt.mapInArrow(_write(folder, tokenizer, end, id_width(tokenizer)), "shard long, path string, n_docs long, n_ids long"), "manifest")
+    sweep(folder, manifest)
+    return manifest
+
+
+def sweep(folder: str, manifest: DataFrame) -> None:
+    """Remove the record files of the folder that the manifest doesn't name: those of attempts that were lost."""
+    spark = manifest.sparkSession
+    named = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").collect()}  # a row per file
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(path) if files.exists(path) else ():
+        stem, _, kind = status.getPath().getName().rpartition(".")
+        if kind in ("rec", "idx") and stem not in named:
+            files.delete(status.getPath(), False)
 
 
 def id_width(tokenizer: str) -> int:

@@ -44,10 +44,10 @@ def test_clashing_hashes_are_noticed(plain):
 def test_file_round_trip_and_damage(tmp_path):
     path = f"file://{tmp_path}/part"
     rows = [(3, b"\1\0\2\0"), (None, b""), (-5, bytes(range(200)) * 50_000)]
-    assert records.write_file(path, "1", iter(rows), 2) == (3, 2 + 100 * 50_000)
+    assert records.write_file(path, iter(rows), 2) == (3, 2 + 100 * 50_000)
     assert list(records.read_file(path)) == rows
     assert [records.read_record(path, k) for k in (2, 0, 1)] == [rows[2], rows[0], rows[1]]
-    records.write_file(path, "2", iter(rows[:1]), 2)  # a second attempt replaces the first
+    records.write_file(path, iter(rows[:1]), 2)
     assert list(records.read_file(path)) == rows[:1]
     raw = (tmp_path / "part.rec").read_bytes()
     length, check = struct.unpack("<QI", raw[:12])
@@ -66,7 +66,12 @@ def test_query_against_the_tokenizer(spark, plain, tmp_path):
     rows = [(rng.randrange(-50, 500), " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 1, 40])))) for _ in range(80)]
     rows += [(600, None), (601, ""), (602, "many " * 20_000), (602, "many " * 20_000), (None, "no id")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")
+    (tmp_path / "records").mkdir()
+    records.write_file(f"file://{tmp_path}/records/part-000000-0-99", iter([(1, b"")]), 2)  # of an attempt that was lost
     manifest = records.write_token_records(docs, f"file://{tmp_path}/records")
+    named = {r["path"].rsplit("/", 1)[1] for r in manifest.collect()}
+    left = {f.name.rsplit(".", 1)[0] for f in (tmp_path / "records").iterdir() if not f.name.startswith(".")}
+    assert left == named and "part-000000-0-99" not in left
     got = [tuple(r) for r in records.read_token_records(manifest).orderBy("start").collect()]
     want, start = [], 0
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
