@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, drop_spill, prepare, spill, table
+from ._shared import components, drop_spill, fresh, prepare, spill, table
 from ._sql import WORDS as WORDS_SQL
 from ._words import blocks, mix, shingles, words
 
@@ -245,11 +245,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that have the smallest id of their near-duplicate class, with all columns of ``docs``.
 
-    Rows with a null id, and texts without a word, stay. Rows that share the smallest id all stay.
+    Rows with a null id, and texts without a word, stay. Rows that share the smallest id all stay. Columns may be called
+    anything.
     """
     classes = near_duplicate_classes(docs, id_col, text_col)
-    gone = classes.where("class_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    name = fresh(docs.columns, "gone")
+    gone = classes.where("class_id < id").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

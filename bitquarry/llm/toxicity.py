@@ -40,6 +40,8 @@ STEM, SUPPORT = (3, 9), 6
 BURST = 8
 #: How much more frequent among their words a term must be in toxic documents, and how surely (natural units of likelihood).
 RATIO, SURE = 6.0, 8.0
+#: Terms that explain a toxic document: others in it don't count as its own (copies of one text share all their words).
+EXPLAINED = 3
 #: Words on each side of a match that are its context, and words before it where a reporting word makes it reported speech.
 CONTEXT, REPORTED = 8, 4
 #: Characters of a word of a script without spaces.
@@ -375,25 +377,52 @@ def _surprise_column(n_yes: int, n_no: int) -> Column:
     return sum((F.when((x > 0) & (want > 0), x * F.log(x / want)).otherwise(0.0) for side in parts for x, want in side), F.lit(0.0))
 
 
-def choose_terms(rows: list[tuple[str, int, int]], n_yes: int, n_no: int) -> dict[str, float]:
+def choose_terms(rows: list[tuple[str, int, int]], n_yes: int, n_no: int, documents: list[list[str]] | None = None) -> dict[str, float]:
     """Terms by how surely they tell toxic words apart, none of which begins another; the log of how much more frequent each is.
 
     rows: (term, occurrences in toxic documents, in others); n_yes and n_no are all words of both. Of terms that are
-    equally sure, words come before stems, then longer terms, then the alphabet decides.
+    equally sure, words come before stems, then longer terms, then the alphabet decides. ``documents`` are the terms
+    in each toxic document: a term must stand in ``SUPPORT`` of them that hold fewer than ``EXPLAINED`` terms chosen before.
     """
+    where: dict[str, list[int]] = {}
+    for k, terms in enumerate(documents or ()):
+        for t in terms:
+            where.setdefault(t, []).append(k)
+    held_by = [0] * len(documents or ())
     chosen: dict[str, float] = {}
     bodies: set[str] = set()
     begun: set[str] = set()  # all that the chosen ones begin with
     for term, yes, no in sorted(rows, key=lambda r: (-round(surprise(r[1], r[2], n_yes, n_no), 6), r[0].endswith("*"), -len(r[0]), r[0])):
         body = term.rstrip("*")
         starts = {body[:k] for k in range(1, len(body) + 1)}
-        if body not in begun and bodies.isdisjoint(starts):
-            chosen[term] = math.log((yes + 0.5) / (n_yes + 1) * (n_no + 1) / (no + 0.5))
-            bodies.add(body)
-            begun |= starts
+        if body in begun or not bodies.isdisjoint(starts):
+            continue
+        own = where.get(term, [])
+        if documents is not None and sum(held_by[k] < EXPLAINED for k in own) < SUPPORT:
+            continue
+        chosen[term] = math.log((yes + 0.5) / (n_yes + 1) * (n_no + 1) / (no + 0.5))
+        bodies.add(body)
+        begun |= starts
+        for k in own:
+            held_by[k] += 1
     return chosen
 
 
+def _holding(terms: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The terms that stand in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, high = terms.value, max(map(len, terms.value), default=0)
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                words = {w.decode() for w in set(words_of((text or "").lower()))}
+                found.append(sorted(known.intersection({*words, *(w[:k] + "*" for w in words for k in range(1, min(len(w), high) + 1))})))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["terms"])
+
+    return run
+
+
 def fit_logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean and scale of the features, and the factors of a ridge logistic regression by Newton's method."""
     mean, scale = rows.mean(0), rows.std(0)
@@ -443,7 +472,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n_yes, n_no = sums.where("term = ''").select("yes", "no").first() or (0, 0)
         often = sums.where("term <> ''").where((F.col("yes") + 0.5) * (n_no + 1) >= RATIO * (F.col("no") + 0.5) * (n_yes + 1))
         sure = often.where(_surprise_column(n_yes, n_no) >= SURE)  # of the bounded sample
-        terms = choose_terms([(r["term"], r["yes"], r["no"]) for r in sure.collect()], n_yes, n_no)
+        rows = [(r["term"], r["yes"], r["no"]) for r in sure.collect()]
+        candidates = spark.sparkContext.broadcast(frozenset(r[0] for r in rows))
+        toxic = [r["terms"] for r in texts.where(first & (F.col("toxic") != 0)).select("text").mapInArrow(_holding(candidates), "terms array<string>").collect()]  # bounded by the sample
+        terms = choose_terms(rows, n_yes, n_no, sorted(toxic))
     shared = spark.sparkContext.broadcast(terms)
     rows = texts.where(~first).mapInArrow(_train_rows(shared), "features array<double>, toxic int").collect()  # bounded by the sample
     x = np.array([r["features"] for r in rows], np.float64).reshape(-1, len(FEATURES))

@@ -73,3 +73,10 @@ def test_large_group_of_copies_is_not_all_its_pairs(spark, size):
     words = [f"w{rng.randrange(5000)}" for _ in range(80)]
     rows = [(i, edited(rng, words, 1)) for i in range(size)] + [(size + i, " ".join(words)) for i in range(size)]
     assert len(set(classes(spark, rows).values())) == 1
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", 6), (3, None, "c", 7)], "doc_id long, text string, gone string, gone_ int")
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]

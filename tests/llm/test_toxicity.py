@@ -199,6 +199,13 @@ def test_sure_terms_are_all_chosen_and_none_begins_another():
     assert len(got) == 900 and "term0001" not in got and "term0001x" in got and "term*" not in got
 
 
+def test_words_of_copies_are_no_terms():
+    rows = [("awful", 200, 1), ("nasty", 150, 1), ("vile", 100, 1), ("house", 30, 0), ("garden", 29, 0), ("rare", 8, 0)]
+    copies = [["awful", "garden", "house", "nasty", "vile"]] * 30
+    documents = copies + [["awful", "nasty", "vile"]] * 30 + [["awful", "rare"]] * 7
+    assert list(tx.choose_terms(rows, 10_000, 90_000, documents)) == ["awful", "nasty", "vile", "rare"]
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "moron " * 30_000, None), (1, "x", "c")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
