@@ -79,4 +79,12 @@ p AS (SELECT *, greatest(1, least(126, (((init_value // 16) * 5 - 45) * greatest
 SELECT l_orderkey, l_linenumber, init_value, qp, CASE WHEN pre <= 63 THEN 63 - pre ELSE pre - 64 END AS state, CASE WHEN pre <= 63 THEN 0 ELSE 1 END::BIGINT AS mps FROM p""",
     "e3_init_types": """SELECT event_id, event_id % 4 AS slice_type, user_id % 2 = 0 AS init_flag,
   CASE event_id % 4 WHEN 2 THEN 0 WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END END::BIGINT AS init_type FROM events""",
+    "ex3_coding_trees": """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size::BIGINT + 40 AS w, 64::BIGINT AS h, list_transform(range(85), lambda i: (((p_partkey * 2654435761 + i * 40503) >> 7) % 2 + 2) % 2) AS bins FROM part),
+s AS (SELECT id, w, h, bins, 0::BIGINT AS pos, [{'path': '', 'x': 0::BIGINT, 'y': 0::BIGINT, 'log2': 6::BIGINT, 'depth': 0::BIGINT}] AS todo, CAST(NULL AS BOOLEAN) AS split, CAST(NULL AS STRUCT(path VARCHAR, x BIGINT, y BIGINT, log2 BIGINT, depth BIGINT)) AS node FROM p
+  UNION ALL SELECT id, w, h, bins, CASE WHEN can THEN pos + 1 ELSE pos END,
+    list_concat(CASE WHEN one THEN list_transform(list_filter(list_transform(range(4), lambda q: {'path': n.path, 'x': n.x + (q % 2) * half, 'y': n.y + (q // 2) * half, 'log2': n.log2 - 1, 'depth': n.depth + 1}), lambda c: c.x < w AND c.y < h),
+      lambda c, i: {'path': CASE WHEN n.path = '' THEN '' ELSE n.path || '.' END || CAST(i - 1 AS VARCHAR), 'x': c.x, 'y': c.y, 'log2': c.log2, 'depth': c.depth}) ELSE [] END, todo[2:]), one, n
+  FROM (SELECT *, can AND bins[pos + 1] = 1 AS one FROM (SELECT *, 1::BIGINT << CAST(n.log2 - 1 AS INTEGER) AS half, n.x + (2::BIGINT << CAST(n.log2 - 1 AS INTEGER)) <= w AND n.y + (2::BIGINT << CAST(n.log2 - 1 AS INTEGER)) <= h AND n.log2 > 3 AS can
+    FROM (SELECT id, w, h, bins, pos, todo, todo[1] AS n FROM s WHERE len(todo) > 0))))
+SELECT id AS stream_id, node.path AS path, node.x AS x, node.y AS y, node.log2 AS log2, node.depth AS depth, split FROM s WHERE node IS NOT NULL""",
 }

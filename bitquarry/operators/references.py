@@ -168,6 +168,14 @@ _LISTS_SQL = f"""{SETS_SQL}, g AS (SELECT set_id, poc, coalesce(list(ref_poc ORD
 lists AS (SELECT set_id, poc, (neg || pos)[1:4] AS list0, (pos || neg)[1:3] AS list1 FROM g)"""
 _MARK = """CASE WHEN pic_id % 2 <> 0 OR poc = 7 THEN 'short' WHEN poc IN (3, 12, 20) THEN 'long' WHEN poc IN (1, 5, 9) THEN 'short' ELSE 'unused' END"""
 ORACLE = {
+    "o4_picture_buffer": f"""WITH RECURSIVE {POC_SQL},
+n AS (SELECT stream_id, pic_id, {{'poc': poc, 'free': pic_id % 3 = 0 AND pic_id % 5 <> 0}} AS new, stream_id % 5 AS room, row_number() OVER (PARTITION BY stream_id ORDER BY pic_id) AS k FROM counted),
+s AS (SELECT stream_id, pic_id, k, room, CAST(NULL AS BIGINT) AS evicted, CASE WHEN room > 0 THEN [new] ELSE [] END AS held FROM n WHERE k = 1
+  UNION ALL SELECT stream_id, pic_id, k, room, CASE WHEN gone > 0 THEN held[gone].poc END,
+    CASE WHEN room = 0 THEN held ELSE list_append(CASE WHEN gone > 0 THEN list_concat(held[1:gone - 1], held[gone + 1:]) ELSE held END, new) END
+  FROM (SELECT n.stream_id, n.pic_id, n.k, n.room, n.new, s.held, CASE WHEN n.room > 0 AND len(s.held) >= n.room
+      THEN CASE WHEN list_contains(list_transform(s.held, lambda h: h.free), TRUE) THEN list_position(list_transform(s.held, lambda h: h.free), TRUE) ELSE 1 END ELSE 0 END AS gone FROM s JOIN n ON n.stream_id = s.stream_id AND n.k = s.k + 1))
+SELECT stream_id, pic_id, evicted, len(held)::BIGINT AS n_held, array_to_string(list_transform(held, lambda h: h.poc), ',') AS held FROM s""",
     "o3_poc_differences": f"WITH {POC_SQL} SELECT stream_id, pic_id, poc - lag(poc) OVER (PARTITION BY stream_id ORDER BY pic_id) AS diff FROM counted",
     "o5_marking": f"WITH {POC_SQL} SELECT stream_id, pic_id, poc, {_MARK} AS marking FROM counted",
     "o6_references": f"""WITH {POC_SQL}, m AS (SELECT stream_id, pic_id, poc, {_MARK} AS marking FROM counted)

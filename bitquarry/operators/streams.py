@@ -124,13 +124,16 @@ _BYTES = "EACH(n, i, CASE WHEN AT(z, i) % 5 < 3 THEN 0 WHEN AT(z, i) % 5 = 3 THE
 
 
 def b12_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte lists made of zeros and threads of 3s, unescaped by a fold: zeros seen before, and the bytes kept."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("size(embedding) = 64")
-    rows = e.selectExpr("vec_id", "64L as n", "transform(embedding, v -> cast(floor(abs(cast(v as double)) * 1000) as bigint) + vec_id % 7) as z")
-    rows = rows.selectExpr("vec_id", f"{spark_sql(_BYTES)} as raw")
-    fold = """aggregate(raw, named_struct('zeros', 0, 'kept', cast(array() as array<bigint>)), (a, b) -> if(a.zeros >= 2 and b = 3,
-      named_struct('zeros', 0, 'kept', a.kept), named_struct('zeros', if(b = 0, a.zeros + 1, 0), 'kept', array_append(a.kept, b))), a -> a.kept)"""
-    return rows.selectExpr("vec_id", "size(raw) as n", f"{fold} as kept").selectExpr("vec_id", "cast(n as bigint) as n", "cast(size(kept) as bigint) as n_kept", "array_join(transform(kept, k -> cast(k as string)), ',') as kept")
+    """Byte lists made of zeros and threads of 3s, without the 3s that stand behind two zeros."""
+    rows = _byte_lists(spark, sf_dir).selectExpr("vec_id", f"{spark_sql(_BYTES)} as raw")
+    kept = "filter(raw, (b, k) -> not (b = 3 and k >= 2 and get(raw, k - 1) = 0 and get(raw, k - 2) = 0))"
+    return rows.selectExpr("vec_id", "size(raw) as n", f"{kept} as kept").selectExpr("vec_id", "cast(n as bigint) as n", "cast(size(kept) as bigint) as n_kept", "array_join(transform(kept, k -> cast(k as string)), ',') as kept")
+
+
+def _byte_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n, z): a number for every component of the vectors."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("embedding is not null")
+    return e.selectExpr("vec_id", "cast(size(embedding) as bigint) as n", "transform(embedding, v -> cast(floor(abs(cast(v as double)) * 1000) as bigint) + vec_id % 7) as z")
 
 
 def plain_offsets(payloads: DataFrame) -> DataFrame:
@@ -143,9 +146,7 @@ def plain_offsets(payloads: DataFrame) -> DataFrame:
 
 
 def x10_plain_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where("size(embedding) = 64")
-    rows = e.selectExpr("vec_id", "64L as n", "transform(embedding, v -> cast(floor(abs(cast(v as double)) * 1000) as bigint) + vec_id % 7) as z")
-    return plain_offsets(rows.selectExpr("vec_id as id", f"posexplode({spark_sql(_BYTES)}) as (i, byte)").withColumn("i", F.col("i").cast("long")))
+    return plain_offsets(_byte_lists(spark, sf_dir).selectExpr("vec_id as id", f"posexplode({spark_sql(_BYTES)}) as (i, byte)").withColumn("i", F.col("i").cast("long")))
 
 
 def sample_table(chunks: DataFrame, runs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -232,13 +233,13 @@ SELECT event_id, (w // 512) % 64 AS nal_type, (w // 8) % 64 AS layer_id, w % 8 A
 FROM (SELECT *, unnest(range(1 + p_partkey % 4)) AS k FROM part)""",
         "b6_signed_codes": """WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey * 3 + l_linenumber AS code FROM lineitem),
 v AS (SELECT *, CASE WHEN code % 2 = 1 THEN (code + 1) // 2 ELSE -(code // 2) END AS value FROM x) SELECT *, CASE WHEN value > 0 THEN value * 2 - 1 ELSE -value * 2 END AS back FROM v""",
-        "b12_unescape": f"""WITH z AS (SELECT vec_id, 64 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) + vec_id % 7) AS z FROM embeddings WHERE len(embedding) = 64),
-r AS (SELECT vec_id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT vec_id, raw, unnest(range(64)) AS i FROM r), b AS (SELECT vec_id, i, raw[i + 1] AS b FROM i),
+        "b12_unescape": f"""WITH z AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) + vec_id % 7) AS z FROM embeddings WHERE embedding IS NOT NULL),
+r AS (SELECT vec_id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT vec_id, raw, unnest(range(len(raw))) AS i FROM r), b AS (SELECT vec_id, i, raw[i + 1] AS b FROM i),
 s AS (SELECT *, sum(CASE WHEN b <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM b),
 k AS (SELECT vec_id, i, b, b = 3 AND coalesce(i - 1 - max(CASE WHEN b <> 0 THEN i END) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i) >= 2 AS gone FROM s)
-SELECT vec_id, 64::BIGINT AS n, count(*) FILTER (NOT gone) AS n_kept, string_agg(CAST(b AS VARCHAR), ',' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY vec_id""",
-        "x10_plain_offsets": f"""WITH z AS (SELECT vec_id, 64 AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) + vec_id % 7) AS z FROM embeddings WHERE len(embedding) = 64),
-r AS (SELECT vec_id AS id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT id, raw, unnest(range(64)) AS i FROM r)
+SELECT vec_id, count(*) AS n, count(*) FILTER (NOT gone) AS n_kept, string_agg(CAST(b AS VARCHAR), ',' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY vec_id""",
+        "x10_plain_offsets": f"""WITH z AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) + vec_id % 7) AS z FROM embeddings WHERE embedding IS NOT NULL),
+r AS (SELECT vec_id AS id, {duck_sql(_BYTES)} AS raw FROM z), i AS (SELECT id, raw, unnest(range(len(raw))) AS i FROM r)
 SELECT id, i, i - len(list_filter(range(i), lambda k: k >= 2 AND raw[k + 1] = 3 AND raw[k] = 0 AND raw[k - 1] = 0)) AS plain FROM i""",
         "b13_bin_strings": f"""WITH x AS (SELECT p_partkey, p_size::BIGINT AS v, p_partkey % 60 + 1 AS c, p_partkey % 4 AS r FROM part),
 w AS (SELECT *, length(bin(c)) AS n, length(bin(c + 1)) - 1 AS k, length(bin(v // (1 << r) + 1)) - 1 AS o FROM x), u AS (SELECT *, (2 << k) - (c + 1) AS short, v - ((1 << o) - 1) * (1 << r) AS rest FROM w)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,9 +26,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path that no other run uses in the folder that driver and executors share: ``spark.checkpoint.dir``, set only where it is unset."""
+    """A path that no other run uses in the folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder takes its place, but only if driver and executors are one process: on a
+    cluster they would each have their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bitquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -104,9 +104,11 @@ def sample_units(samples: DataFrame, length_size: int, mode: str = "permissive")
 
 
 def byte_stream(units: DataFrame) -> DataFrame:
-    """(stream_id, payload): the units of each stream behind start codes, in order. Native; escapes nothing."""
-    parts = F.array_sort(F.collect_list(F.struct("nal_idx", F.hex("unit").alias("hex"))))
-    return units.groupBy("stream_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("000001"), p["hex"])), "")).alias("payload"))
+    """(stream_id, payload): the units of each stream behind start codes, in order. Native; escapes nothing.
+
+    A stream is one value, so it has 2 GB at most, like every value of a row.
+    """
+    return units.groupBy("stream_id").agg(F.expr("listagg(concat(X'000001', unit)) within group (order by nal_idx)").alias("payload"))
 
 
 def header_fields(word: Column) -> dict[str, Column]:
@@ -161,13 +163,14 @@ def field(path: str, kind: str = "bigint", column: str = "syntax") -> Column:
 def as_of(rows: DataFrame, sets: DataFrame, key: str, value: str) -> DataFrame:
     """Adds to rows (stream_id, nal_idx, key) the latest ``value`` of sets (stream_id, nal_idx, key, value) before them.
 
-    A union and a running last value per stream and key: one shuffle, no join, and a later set replaces an earlier
-    one. Rows whose key has no set before them get null.
+    A union and a running last value per stream and key: a later set replaces an earlier one. Only the set's place runs
+    through the window; the value itself is joined by it. Rows whose key has no set before them get null.
     """
-    mine = sets.select("stream_id", "nal_idx", key, value).withColumn("__is_set", F.lit(True))
-    both = rows.withColumn("__is_set", F.lit(False)).unionByName(mine, allowMissingColumns=True)
+    places = sets.select("stream_id", "nal_idx", key, F.col("nal_idx").alias("__place"))
+    both = rows.withColumn("__is_set", F.lit(False)).unionByName(places.withColumn("__is_set", F.lit(True)), allowMissingColumns=True)
     w = Window.partitionBy("stream_id", key).orderBy("nal_idx", F.desc("__is_set")).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("not __is_set").drop("__is_set")
+    placed = both.withColumn("__place", F.last("__place", ignorenulls=True).over(w)).where("not __is_set").drop("__is_set")
+    return placed.join(sets.select("stream_id", F.col("nal_idx").alias("__place"), value), ["stream_id", "__place"], "left").drop("__place")
 
 
 HEADERS = "stream_id long, nal_idx long, header string, error string"
