@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 from ..sources.bits import BitReader, BitstreamError, BitWriter, escape
-from ..sources.bitstream import active_sets, nal_units, parse_units
+from ..sources.bitstream import active_sets, nal_units, parse_units, sample_units, split_stream
 from ..sources.encoder import Recorder
 from ..sources.model import AFTER_LPS, LPS_RANGES, Standard, context_count, context_place, context_values
+from ..sources.mp4 import Mp4Source
 from ..sources.slicedata import Picture, slice_data
 from ..sources.synthetic import _profile
 from ..sources.tables import table
@@ -23,6 +24,7 @@ from .entropy import initial_state
 from .geometry import PICTURES_SQL as PARTS_SQL
 from .geometry import part_pictures, with_grid, with_tiles
 from .order import order_counts
+from .readers import movie_key, movie_of, write_movies
 from .references import decoded_picture_buffer
 from .reconstruct import reconstruct
 
@@ -138,6 +140,27 @@ def arithmetic_bins(payloads: DataFrame) -> DataFrame:
     return payloads.mapInArrow(_rows_in(one, ["id", "payload", "init_type", "qp", "script"], schema), "id long, i long, bin long, error string")
 
 
+def movie_pictures(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
+    """(path, frame, poc, planes, error) of every ``every``-th picture of the movies below a path, from their bytes.
+
+    The job from files to frames: samples by the data source, units by their lengths, sets of the configuration first.
+    """
+    ship(spark)
+    spark.dataSource.register(Mp4Source)
+    rows = spark.read.format("mp4").load(path)
+    # a sample is a row of its own: the file's number and the sample's in one, and apart again behind the split
+    number = F.pmod(F.xxhash64("path"), F.lit(1 << 31)) * (1 << 32) + F.col("sample") + 1
+    samples = rows.select("path", number.alias("stream_id"), "length_size", "payload")
+    units = sample_units(samples, "length_size")
+    place = (F.col("stream_id") % (1 << 32)) * (1 << 16) + F.col("nal_idx")
+    units = units.select(F.shiftright("stream_id", 32).alias("stream_id"), place.alias("nal_idx"), "unit", "error")
+    pictures = decoded_pictures(parse_units(units))
+    frame = F.row_number().over(Window.partitionBy("stream_id").orderBy("nal_idx")) - 1
+    names = rows.where("sample = -1").select("path", F.pmod(F.xxhash64("path"), F.lit(1 << 31)).alias("stream_id"))
+    chosen = pictures.withColumn("frame", frame.cast("long")).where(F.col("frame") % every == 0)
+    return chosen.join(names, "stream_id").select("path", "frame", "poc", "planes", "error")
+
+
 # --- streams of intra pictures -------------------------------------------------------------------------------
 
 
@@ -206,6 +229,19 @@ def r13_picture_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded_picture_buffer(rows).withColumn("evicted", F.col("evicted").cast("long"))
 
 
+def intra_movie(key: int) -> bytes:
+    """The stream of a key as a movie: the sets in its configuration, a picture a sample."""
+    units = split_stream(intra_stream(key))
+    return movie_of([len(u).to_bytes(1 + key % 4, "big") + u for u in units[2:]], units[:2], key % 4, key % 2 == 1)
+
+
+def h13_movie_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second frame of the movies of nations, from files to samples."""
+    folder = write_movies(spark, sf_dir, lambda key: intra_movie(key + 1))
+    frames = movie_pictures(spark, folder, 2).select(movie_key().alias("id"), "frame", "poc", F.explode("planes").alias("p"), "error")
+    return frames.select("id", "frame", "poc", F.array_join("p.samples", ",").alias("samples"), "error")
+
+
 def t4_tile_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part pictures with uniform tiles, explicit ones where the picture is wide enough, or one tile, from picture sets."""
     p = with_tiles(with_grid(part_pictures(spark, sf_dir)))
@@ -239,7 +275,7 @@ def e10_arithmetic_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "x11_slice_data": x11_slice_data, "r13_decoded_pictures": r13_decoded_pictures, "r13_picture_buffer": r13_picture_buffer, "t4_tile_maps": t4_tile_maps,
-    "e2_context_vectors": e2_context_vectors, "e10_arithmetic_bins": e10_arithmetic_bins,
+    "h13_movie_frames": h13_movie_frames, "e2_context_vectors": e2_context_vectors, "e10_arithmetic_bins": e10_arithmetic_bins,
 }
 
 _SLICES_SQL = "s AS (SELECT p_partkey AS stream_id, 2 + k AS nal_idx, p_partkey AS key, k, (p_partkey + k) % 3 <> 0 AS coded, (p_partkey + k) % 2 AS negative FROM (SELECT p_partkey, unnest(range(1 + p_partkey % 8)) AS k FROM part))"
@@ -283,6 +319,8 @@ SELECT id, i, bin, CAST(NULL AS VARCHAR) AS error FROM d WHERE i >= 0"""
   array_to_string(list_transform(range(64), lambda j: CASE WHEN coded AND negative = 0 THEN 255 ELSE 0 END), ',') AS samples, CAST(NULL AS VARCHAR) AS error FROM s""",
         "r13_picture_buffer": f"""WITH {_SLICES_SQL} SELECT stream_id, nal_idx AS pic_id, CASE WHEN k >= 4 THEN {_POC.replace("k", "(k - 4)")} END AS evicted, least(k + 1, 4) AS n_held,
   array_to_string(list_transform(range(greatest(k - 3, 0), k + 1), lambda j: {_POC.replace("k", "j")}), ',') AS held FROM s""",
+        "h13_movie_frames": """SELECT n_nationkey::BIGINT AS id, k AS frame, 3 * k AS poc, array_to_string(list_transform(range(64), lambda j: CASE WHEN (n_nationkey + 1 + k) % 3 <> 0 AND (n_nationkey + 1 + k) % 2 = 0 THEN 255 ELSE 0 END), ',') AS samples,
+  CAST(NULL AS VARCHAR) AS error FROM (SELECT n_nationkey, unnest(range(1 + (n_nationkey + 1) % 8)) AS k FROM nation) WHERE k % 2 = 0""",
         "t4_tile_maps": f"""WITH {PARTS_SQL}, b AS (SELECT *, addr_rs % ctb_w AS ctb_x, addr_rs // ctb_w AS ctb_y FROM (SELECT *, unnest(range(ctb_w * ctb_h)) AS addr_rs FROM tiled)),
 t AS (SELECT pic_id, addr_rs, CASE WHEN pic_id % 7 = 0 THEN 0 WHEN pic_id % 2 = 0 AND ctb_w >= 4 THEN CASE WHEN ctb_x < 1 THEN 0 WHEN ctb_x < 3 THEN 1 ELSE 2 END ELSE {tile} END::BIGINT AS tile_id FROM b)
 SELECT pic_id, addr_rs, row_number() OVER (PARTITION BY pic_id ORDER BY tile_id, addr_rs) - 1 AS addr_ts, tile_id, CAST(NULL AS VARCHAR) AS error FROM t""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import duck_sql, spark_sql
 from ..sources.tables import table
+from .blocks import DCT4, DEQUANTISED
 from .planes import PLANES8_SQL, kernel, kernel_sql, planes8
 
 # The taps of the luma and chroma interpolation filters, by fraction of a sample.
@@ -125,8 +126,31 @@ def m4_inter_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel(p, BOTH_LISTS)
 
 
+# an inter block from its references to the picture: prediction, scaled levels, residual, sum, and the plane with the block in it
+RESIDUAL = f"CASE WHEN plane_id % 5 = 0 THEN scaled ELSE {DCT4.replace('(AT(samples, u * 4 + t) - 128)', 'AT(scaled, u * 4 + t)')} END"
+SUMMED = "EACH(16, k, SAMPLE(AT(pred, k) + AT(residual, k), 8))"
+_INSIDE = "k % width >= plane_id % 6 AND k % width < plane_id % 6 + 4 AND k // width >= plane_id % 5 AND k // width < plane_id % 5 + 4"
+PLACED = f"EACH(width * height, k, CASE WHEN {_INSIDE} THEN AT(block, (k // width - plane_id % 5) * 4 + k % width - plane_id % 6) ELSE AT(samples, k) END)"
+_INTER_STEPS = {"pred": BOTH_LISTS, "scaled": DEQUANTISED, "residual": RESIDUAL, "block": SUMMED}
+
+
+def m9_inter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes with an inter block in them: predicted from one list, both or none, with a residual that some don't transform."""
+    p = planes8(spark, sf_dir).select("*", F.expr(spark_sql(LUMA_BLOCK)).alias("first"), F.expr(spark_sql(SECOND_BLOCK)).alias("second"), F.lit(5).cast("long").alias("shift"))
+    for name, template in _INTER_STEPS.items():
+        p = p.withColumn(name, F.expr(spark_sql(template)))
+    return kernel(p, PLACED)
+
+
+def _inter_sql() -> str:
+    with_sql, source = PLANES8_SQL + f", pair AS (SELECT *, {duck_sql(LUMA_BLOCK)} AS first, {duck_sql(SECOND_BLOCK)} AS second, 5 AS shift FROM planes8)", "pair"
+    for name, template in _INTER_STEPS.items():
+        with_sql, source = f"{with_sql}, with_{name} AS (SELECT *, {duck_sql(template)} AS {name} FROM {source})", f"with_{name}"
+    return kernel_sql(PLACED, source, with_sql)
+
+
 QUERIES = {
-    "m4_inter_prediction": m4_inter_prediction,
+    "m9_inter_blocks": m9_inter_blocks, "m4_inter_prediction": m4_inter_prediction,
     "m1_motion_vectors": m1_motion_vectors, "m3_merge": m3_merge, "m5_default_weight": _planed(DEFAULT_WEIGHT), "m6_explicit_weight": _planed(EXPLICIT_WEIGHT),
     "m7_luma_fraction": _planed(LUMA_BLOCK), "m8_chroma_fraction": _planed(CHROMA_BLOCK),
 }
@@ -150,6 +174,7 @@ cand AS (SELECT id, l0, l1, k AS place FROM lead_ WHERE k <= most
 first_ AS (SELECT id, l0, l1, min(place) AS place FROM cand GROUP BY id, l0, l1),
 r AS (SELECT id, l0, l1, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS rank FROM first_)
 SELECT r.id, r.rank, r.l0, r.l1 FROM r JOIN n USING (id) WHERE r.rank < n.most""",
+    "m9_inter_blocks": _inter_sql(),
     "m4_inter_prediction": kernel_sql(BOTH_LISTS, "pair", PLANES8_SQL + f", pair AS (SELECT *, {duck_sql(LUMA_BLOCK)} AS first, {duck_sql(SECOND_BLOCK)} AS second FROM planes8)"),
     "m5_default_weight": kernel_sql(DEFAULT_WEIGHT),
     "m6_explicit_weight": kernel_sql(EXPLICIT_WEIGHT),

@@ -458,26 +458,30 @@ def _box(tag: bytes, *content: bytes) -> bytes:
     return struct.pack(">I4s", 8 + len(body), tag) + body
 
 
-def movie_file(key: int, whole: bool = False) -> bytes:
-    """A movie whose video track has ``3 + key % 5`` samples, two a chunk in its first chunk and one in the others."""
-    samples = [bytes([key % 256, k]) * (1 + (key + k) % 9) for k in range(3 + key % 5)]
-    chunks = [(0, 2), *((k, 1) for k in range(2, len(samples)))]
+def movie_of(samples: list[bytes], sets: list[bytes], length_code: int, wide: bool, whole: bool = True) -> bytes:
+    """A movie of an audio and a video track: two samples in the first chunk, one in each other; without its index unless ``whole``."""
+    chunks = [0, *range(2, len(samples))]
     head = _box(b"ftyp", b"isom")
     places, at = [], len(head) + 8
     for s in samples:
         places.append(at)
         at += len(s)
-    wide = key % 2 == 1
-    sets = b"".join(b"\x20\0\x01" + struct.pack(">H", 2 + k) + bytes([key % 256]) * (2 + k) for k in range(key % 3))
+    units = b"".join(b"\x20\0\x01" + struct.pack(">H", len(u)) + u for u in sets)
     tables = [
-        _box(b"stsd", bytes(8), _box(b"hvc1", bytes(78), _box(b"hvcC", bytes(21) + bytes([key % 4, key % 3]) + sets))),
+        _box(b"stsd", bytes(8), _box(b"hvc1", bytes(78), _box(b"hvcC", bytes(21) + bytes([length_code, len(sets)]) + units))),
         _box(b"stsz", struct.pack(">III", 0, 0, len(samples)), *(struct.pack(">I", len(s)) for s in samples)),
         _box(b"stsc", struct.pack(">II", 0, 2), struct.pack(">III", 1, 2, 1), struct.pack(">III", 2, 1, 1)),
-        _box(b"co64" if wide else b"stco", struct.pack(">II", 0, len(chunks)), *(struct.pack(">Q" if wide else ">I", places[first]) for first, _ in chunks)),
+        _box(b"co64" if wide else b"stco", struct.pack(">II", 0, len(chunks)), *(struct.pack(">Q" if wide else ">I", places[first]) for first in chunks)),
     ]
     video = _box(b"trak", _box(b"mdia", _box(b"vmhd", bytes(12)), _box(b"stbl", *tables)))
     moov = _box(b"moov", _box(b"trak", _box(b"mdia", _box(b"smhd", bytes(8)))), video)
-    return head + _box(b"mdat", *samples) + (moov if whole or key % 13 else b"")
+    return head + _box(b"mdat", *samples) + (moov if whole else b"")
+
+
+def movie_file(key: int, whole: bool = False) -> bytes:
+    """A movie of ``3 + key % 5`` samples and ``key % 3`` sets that the key gives."""
+    samples = [bytes([key % 256, k]) * (1 + (key + k) % 9) for k in range(3 + key % 5)]
+    return movie_of(samples, [bytes([key % 256]) * (2 + k) for k in range(key % 3)], key % 4, key % 2 == 1, whole or key % 13 > 0)
 
 
 def movie_index(movies: DataFrame) -> DataFrame:
@@ -506,8 +510,8 @@ def s6_movie_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("id", "length_size", "n_sets", F.col("sample").cast("long").alias("sample"), F.col("p.offset").alias("offset"), F.col("p.size").alias("size"), "error")
 
 
-def s5_movie_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Movies of nations written as files to the shared folder and read by the data source; sample -1 holds the sets."""
+def write_movies(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes]) -> str:
+    """A folder in the shared one with a movie file for every nation, named by its key."""
     folder = shared_path(spark, "movies")
     ship(spark)
 
@@ -518,15 +522,26 @@ def s5_movie_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
             for key in batch.column("n_nationkey").to_pylist():
                 files, at = fs.FileSystem.from_uri(folder)
                 files.create_dir(at)
-                with files.open_output_stream(f"{at}/{1000 + key}.mp4") as out:
-                    out.write(movie_file(key + 1, True))
+                with files.open_output_stream(f"{at}/{key}.mp4") as out:
+                    out.write(make(key))
             yield batch
 
     table(spark, sf_dir, "nation", "n_nationkey").mapInArrow(write, "n_nationkey int").count()
+    return folder
+
+
+def s5_movie_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movies of nations written as files to the shared folder and read by the data source; sample -1 holds the sets."""
+    folder = write_movies(spark, sf_dir, lambda key: movie_file(key + 1, True))
     spark.dataSource.register(Mp4Source)
     rows = spark.read.format("mp4").option("partitions", 2).load(folder)
-    key = F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long") - 1000
-    return rows.where("sample >= 0").select(key.alias("id"), "sample", "size", F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("long").alias("first"), F.conv(F.hex(F.substring("payload", 2, 1)), 16, 10).cast("long").alias("second"))
+    byte = lambda at: F.conv(F.hex(F.substring("payload", at, 1)), 16, 10).cast("long")
+    return rows.where("sample >= 0").select(movie_key().alias("id"), "sample", "size", byte(1).alias("first"), byte(2).alias("second"))
+
+
+def movie_key() -> Column:
+    """The number that a movie's file is called by."""
+    return F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long")
 
 
 def availability_context(pictures: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, stored
 from .bits import BitReader, BitstreamError, unescape
 from .syntax import KINDS, parse_payload, read_table, slice_context, slice_pps_id, unit_header, width
 
@@ -74,13 +74,15 @@ def substreams(escaped: bytes, start: int, offsets_minus1: list[int]) -> list[tu
 UNITS = "stream_id long, nal_idx long, unit binary, error string"
 
 
-def _units(split: Callable[[bytes], list[bytes]], strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _units(split: Callable[..., list[bytes]], strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Splits rows (stream_id, payload, whatever ``split`` takes besides)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for stream, payload in zip(batch.column("stream_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for stream, payload, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows += [(stream, k, unit, None) for k, unit in enumerate(split(payload or b""))]
+                    rows += [(stream, k, unit, None) for k, unit in enumerate(split(payload or b"", *more))]
                 except BitstreamError as e:
                     if strict:
                         raise
@@ -97,10 +99,14 @@ def nal_units(streams: DataFrame, mode: str = "permissive") -> DataFrame:
     return streams.select(F.col("stream_id").cast("long"), "payload").mapInArrow(_units(split_stream, mode == "failfast"), UNITS)
 
 
-def sample_units(samples: DataFrame, length_size: int, mode: str = "permissive") -> DataFrame:
-    """(stream_id, nal_idx, unit, error) of length-prefixed samples; a sample that breaks the framing is one error row."""
+def sample_units(samples: DataFrame, length_size: int | str, mode: str = "permissive") -> DataFrame:
+    """(stream_id, nal_idx, unit, error) of length-prefixed samples; a sample that breaks the framing is one error row.
+
+    ``length_size`` is the number of bytes of a length, or the column that holds it.
+    """
     ship(samples.sparkSession)
-    return samples.select(F.col("stream_id").cast("long"), "payload").mapInArrow(_units(lambda s: split_sample(s, length_size), mode == "failfast"), UNITS)
+    size = F.col(length_size) if isinstance(length_size, str) else F.lit(length_size)
+    return samples.select(F.col("stream_id").cast("long"), "payload", size.cast("int")).mapInArrow(_units(split_sample, mode == "failfast"), UNITS)
 
 
 def byte_stream(units: DataFrame) -> DataFrame:
@@ -220,10 +226,10 @@ def active_sets(parsed: DataFrame) -> DataFrame:
     are at the slice.
     """
     ship(parsed.sparkSession)
-    slices = parsed.where("kind = 'vcl' and error is null").select("stream_id", "nal_idx", "nal_type", "rbsp").mapInArrow(_pps_ids, "stream_id long, nal_idx long, nal_type int, rbsp binary, pps_id long")
-    good = parsed.where("error is null")
-    pps = good.where("kind = 'pps'").select("stream_id", "nal_idx", field("pps_pic_parameter_set_id").alias("pps_id"), F.col("syntax").alias("pps"))
-    sps = good.where("kind = 'sps'").select("stream_id", "nal_idx", field("sps_seq_parameter_set_id").alias("sps_id"), F.col("syntax").alias("sps"))
+    parsed = stored(parsed.where("kind in ('vcl', 'pps', 'sps') and error is null"), "parsed-units")  # parsed once
+    slices = parsed.where("kind = 'vcl'").select("stream_id", "nal_idx", "nal_type", "rbsp").mapInArrow(_pps_ids, "stream_id long, nal_idx long, nal_type int, rbsp binary, pps_id long")
+    pps = parsed.where("kind = 'pps'").select("stream_id", "nal_idx", field("pps_pic_parameter_set_id").alias("pps_id"), F.col("syntax").alias("pps"))
+    sps = parsed.where("kind = 'sps'").select("stream_id", "nal_idx", field("sps_seq_parameter_set_id").alias("sps_id"), F.col("syntax").alias("sps"))
     with_pps = as_of(slices, pps, "pps_id", "pps").withColumn("sps_id", field("pps_seq_parameter_set_id", column="pps"))
     return as_of(with_pps, sps, "sps_id", "sps")
 
