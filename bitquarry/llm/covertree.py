@@ -363,8 +363,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
     sizes = reps.groupBy(*group).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("rep", "embedding"), "rep", "embedding"))
-    first = reps.select(*group, F.col("embedding").alias("centre"), (rank - 1).alias("region")).where(f"region < {CENTRES}")
-    centres = spill(first.join(sizes, group).where(f"region < ceil(n / {float(BLOCK)})").select(*group, "region", "centre"), "centres")
+    first = reps.select(*group, F.col("embedding").alias("centre"), rank.alias("rank")).where(f"rank <= {CENTRES}")  # each task keeps so many of a label
+    centres = spill(first.join(sizes, group).where(f"rank <= ceil(n / {float(BLOCK)})").select(*group, (F.col("rank") - 1).alias("region"), "centre"), "centres")
     tasks = F.ceil(F.col("n") / F.lit(float(DEALT))).cast("int")
     salted = reps.join(sizes, group).select(*group, F.pmod(F.xxhash64("rep", "embedding"), tasks).cast("int").alias("salt"), "rep", "copies", "embedding")
     each = centres.join(sizes, group).select(*group, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), "region", "centre")
