@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitquarry.llm._shared import table
+from bitquarry.llm._shared import drop_spill, table
 from bitquarry.llm.contamination import decontaminate
 from bitquarry.llm.linededup import dedup_lines
 from bitquarry.llm.minhash import keep_one_of_each
@@ -51,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is a Parquet table that the next stage reads."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is a Parquet table that the next stage reads.
+
+    Rows may repeat, lack an id or a text, and have other columns of any name: each stage does with them what its
+    operator says. A stage's table is removed when the next one is written; the last one stays.
+    """
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done is not None:
+            drop_spill(done)
+        docs = done = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
