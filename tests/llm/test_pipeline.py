@@ -58,3 +58,19 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_repeated_rows_and_other_columns_pass_through(spark, tmp_path):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(14))
+    rows = [(None, words("n")), (7, words("s")), (7, words("s")), (8, None), (9, ""), (10, words("x") + "\n" + words("y"))]
+    schema = DOCS + ", id_ string, gone_ int, gone string, digest string, runs int, line long"
+    docs = spark.createDataFrame([(d, t, None, None, None, "a", 1, "b", "c", 2, None) for d, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(rows, key=str)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in packed), key=str) == sorted((d for d, _ in rows), key=str)
