@@ -1,10 +1,12 @@
 """Licence scan with a positional rare-token index, in DataFrame operations only.
 
-Texts become strings of words with one space between them. Only texts that hold a word that starts a licence phrase
-or is rare in licence templates go on; the others are done with their word count. Each text looks up the postings
-(template, position) of all its licence words, each match votes for a template and a relative position, and a
-template is accepted when enough of its own words agree at one relative position and its mandatory phrases stand in
-the text. So a text's labels depend on no other notice in it and on no other text.
+Texts become strings of words with one space between them. Only texts that hold a few licence words go on; the others
+are done with their counts. Licence words are ordered by the number of documents that hold them, over all rows. A text
+looks up the postings (template, position) of its rare words alone: where half of the words must agree, one of the
+rarer half or the next one does. Each match is a template at a relative position, and only there the template's other
+words are compared with the text's. A template is accepted when enough of its own words agree at one relative position
+and its mandatory phrases stand in the text. The order decides what is looked up and never what is found, so a text's
+labels depend on no other notice in it and on no other text.
 """
 
 from __future__ import annotations
@@ -41,15 +43,24 @@ TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
 )
-# Words of the templates that any text may hold, which aren't looked up.
+# Words of the templates that any text may hold, which don't count when words are compared.
 COMMON = frozenset("a all and any are as at be by can code copy either event except file for form forms if in is it may met no not of one or out program provided public that the this to under use used version with without work you above following made obtain purpose person free held terms available subject fee sell 0 2 4 v".split())
 
 
 def vocabulary() -> list[str]:
-    """The template words that are looked up."""
+    """The template words that count, the licence words. Which of them are rare, the documents say."""
     return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} - COMMON)
 
 
+def rarest_first(terms: DataFrame) -> list[str]:
+    """The licence words by the number of rows of (terms) that hold them, equally frequent ones by the word.
+
+    ``terms`` has the different licence words of every document; the driver gets a row per licence word.
+    """
+    held = {r["word"]: r["n"] for r in terms.select(F.explode("terms").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return sorted(vocabulary(), key=lambda word: (held.get(word, 0), word))
+
+
 def normalised(text: Column) -> Column:
     """The words of a text with one space between them; lower-casing beyond ASCII changes no word boundary. The sign of
     the kelvin is the one that would become an ASCII letter by itself, and stays apart."""
@@ -87,18 +98,37 @@ def base_places(padded: Column) -> dict[str, Column]:
     }
 
 
-def template_matches(texts: DataFrame) -> DataFrame:
-    """(key, found, share): labels of the templates that stand in each text (key, words), and the best share of agreeing words.
+def _places(texts: DataFrame) -> DataFrame:
+    """The places of the licence words in each text, beside its other columns."""
+    rest = [c for c in texts.columns if c != "words"]
+    return texts.select(*rest, F.posexplode(F.split("words", " ")).alias("pos", "word")).where(F.col("word").isin(vocabulary()))
+
+
+def looked_up(texts: DataFrame, ranked: list[str]) -> DataFrame:
+    """(key, template, at, label, size, asked): where templates may stand in the texts (key, words), by their rare words.
 
-    The share is of the template's words, or of the text's licence words where it has fewer.
+    ``ranked`` has the licence words, the rarest first. ``size`` and ``asked`` are the numbers of different licence words
+    of the template and the text. Of the smaller number the share ``AGREE`` must agree, so the rarest word that does has
+    the others behind it among the words of both; words with fewer behind them aren't looked up.
     """
     spark = texts.sparkSession
-    looked = texts.select("key", F.posexplode(F.split("words", " ")).alias("pos", "word")).where(F.col("word").isin(vocabulary()))
-    postings = _literal(_postings(), "word template place", spark)
-    vote = looked.join(F.broadcast(postings), "word").groupBy("key", "template", (F.col("pos") - F.col("place")).alias("at")).agg(F.count("*").alias("votes"), F.countDistinct("word").alias("voters"))
-    asked = looked.groupBy("key").agg(F.countDistinct("word").alias("asked"))
-    best = vote.join(asked, "key").join(F.broadcast(_literal(_sizes(), "template label size", spark)), "template")
-    best = best.withColumn("share", F.col("voters") / F.least("asked", "size")).where(f"votes >= {LEAST} and share >= {AGREE}")
+    held = F.array_intersect(F.array(*(F.lit(w) for w in ranked)), F.split("words", " "))
+    places = _places(texts.withColumn("held", held)).withColumn("asked", F.size("held")).withColumn("nth_asked", F.array_position("held", F.col("word")))
+    index = F.broadcast(_literal(_index(ranked), "word template label size nth place", spark))
+    agree = AGREE * F.least("asked", "size")
+    found = places.join(index, "word").where((F.col("nth") - 1 <= F.col("size") - agree) & (F.col("nth_asked") - 1 <= F.col("asked") - agree))
+    return found.select("key", "template", (F.col("pos") - F.col("place")).alias("at"), "label", "size", "asked").distinct()
+
+
+def template_matches(texts: DataFrame, ranked: list[str]) -> DataFrame:
+    """(key, found, share): labels of the templates that stand in each text (key, words), and the best share of agreeing words.
+
+    The share is of the template's words, or of the text's licence words where it has fewer. ``ranked`` as in ``looked_up``.
+    """
+    notice = F.broadcast(_literal(_postings(), "word template place", texts.sparkSession))
+    wanted = looked_up(texts, ranked).join(notice, "template").withColumn("pos", F.col("at") + F.col("place"))
+    vote = wanted.join(_places(texts), ["key", "pos", "word"]).groupBy("key", "template", "at", "label", "size", "asked").agg(F.count("*").alias("votes"), F.countDistinct("word").alias("voters"))
+    best = vote.withColumn("share", F.col("voters") / F.least("asked", "size")).where(f"votes >= {LEAST} and share >= {AGREE}")
     best = best.groupBy("key", "template", "label").agg(F.max("share").alias("share"))
     padded = F.concat(F.lit(" "), "words", F.lit(" "))
     must = F.lit(False)
@@ -120,6 +150,12 @@ def _sizes() -> list[tuple[int, str, int]]:
     return [(t, label, len(words & set(notice.split()))) for t, (label, notice, _) in enumerate(TEMPLATES)]
 
 
+def _index(ranked: list[str]) -> list[tuple[str, int, str, int, int, int]]:
+    """The postings with the label and size of their template and the word's place among its words, the rarest first (from 1)."""
+    order = [[w for w in ranked if w in notice.split()] for _, notice, _ in TEMPLATES]
+    return [(w, t, TEMPLATES[t][0], len(order[t]), order[t].index(w) + 1, place) for w, t, place in _postings()]
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
@@ -134,17 +170,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     may = F.lit(False)
     for phrase, _ in PHRASES:
         may = may | F.contains(padded, F.lit(f" {phrase} "))
-    held = F.size(F.array_intersect(F.split("words", " "), F.array(*(F.lit(w) for w in vocabulary())))) >= LEAST
-    # one scan of the documents: their counts, and the words of the few texts that are looked up
-    counted = words.select(
+    terms = F.array_intersect(F.split("words", " "), F.array(*(F.lit(w) for w in vocabulary())))
+    # one scan of the documents: their counts and licence words, and all words of the few texts that are looked up
+    counted = words.withColumn("terms", terms).select(
         "id",
         F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words"),
         F.when(may, F.struct(*(c.alias(n) for n, c in base_places(padded).items()))).alias("base"),
-        F.when(held, F.col("words")).alias("words"),
+        F.when(F.size("terms") >= LEAST, F.col("words")).alias("words"),
+        "terms",
     )
     counted = spill(counted, "license-words").withColumn("key", F.sha2("words", 256))
     some = counted.where("words is not null")
-    found = template_matches(some.select("key", "words").distinct())
+    found = template_matches(some.select("key", "words").distinct(), rarest_first(counted.select("terms")))
     rest = counted.where("words is null").select("id", "n_words", "base", F.lit(None).cast("array<string>").alias("found"), F.lit(None).cast("double").alias("share"))
     out = some.join(found, "key", "left").select("id", "n_words", "base", "found", "share").unionAll(rest)
     none = F.array().cast("array<string>")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
 from bitquarry.llm import licenses
@@ -55,6 +58,67 @@ def test_other_rows_do_not_change_a_text_s_labels(spark):
         assert (got[0]["labels"], got[0]["score"]) == ("mit,zlib", 1)
 
 
+def every_vote(text):
+    """Labels and best share when every licence word of the text is compared with every place of every template."""
+    w, lic = text.split(), set(licenses.vocabulary())
+    asked, labels, best = len(lic & set(w)), set(), 0.0
+    for label, notice, phrases in licenses.TEMPLATES:
+        n = notice.split()
+        for at in range(-len(n), len(w)):
+            agree = [x for p, x in enumerate(n) if x in lic and 0 <= at + p < len(w) and w[at + p] == x]
+            share = len(set(agree)) / max(1, min(asked, len(lic & set(n))))
+            if asked >= licenses.LEAST and len(agree) >= licenses.LEAST and share >= licenses.AGREE and all(f" {p} " in f" {text} " for p in phrases):
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def parts_of_notices(seed):
+    """Texts of whole and broken notices with licence words between them."""
+    rng, lic, texts = random.Random(seed), licenses.vocabulary(), []
+    for _ in range(60):
+        text = []
+        for _, notice, phrases in rng.choices(licenses.TEMPLATES, k=rng.randint(1, 3)):
+            held = {x for p in phrases for x in p.split()}
+            text += [rng.choice([*lic, "and"]) for _ in range(rng.randint(0, 4))]
+            loss = rng.choice([0, 0.3, 0.6, 0.9])
+            text += [x if x in held or rng.random() >= loss else rng.choice(["some", "words", rng.choice(lic)]) for x in notice.split()]
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_words_find_what_all_words_find(spark, seed):
+    texts, order = parts_of_notices(seed), licenses.vocabulary()
+    random.Random(seed).shuffle(order)
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, words string")
+    for ranked in (order, order[::-1]):
+        got = {int(r["key"]): (set(r["found"]), r["share"]) for r in licenses.template_matches(df, ranked).collect()}
+        for k, text in enumerate(texts):
+            assert got.get(k, (set(), 0.0)) == every_vote(text), text
+    assert len({x for t in texts for x in every_vote(t)[0]}) > 9 and not all(every_vote(t)[0] for t in texts)
+
+
+def test_only_rare_words_are_looked_up(spark):
+    t, (_, notice, _) = next((t, x) for t, x in enumerate(licenses.TEMPLATES) if x[0] == "zlib")
+    own = [w for w in licenses.vocabulary() if w in notice.split()]
+    rest = [w for w in licenses.vocabulary() if w not in own]
+    half = len(own) // 2
+    df = spark.createDataFrame([("few", " ".join([*own[half + 1 :], *rest])), ("one", " ".join([own[half], *rest]))], "key string, words string")
+    for ranked, keys in ((own + rest, {"one"}), (own[::-1] + rest, {"few", "one"})):
+        assert {r["key"] for r in licenses.looked_up(df, ranked).where(f"template = {t}").collect()} == keys
+
+
+def test_rarity_is_that_of_all_documents(spark, monkeypatch):
+    asked = []
+    matches = licenses.template_matches
+    monkeypatch.setattr(licenses, "template_matches", lambda texts, ranked: asked.append(ranked) or matches(texts, ranked))
+    rows = [next(notice for label, notice, _ in licenses.TEMPLATES if label == "mit"), "Software, software", "software", "a warranty", "warranty and software", "warranty", None, ""]
+    scan(spark, list(enumerate(rows)))
+    held = Counter(w for t in rows if t for w in {x.decode() for x in words(t)} & set(licenses.vocabulary()))
+    assert asked == [sorted(licenses.vocabulary(), key=lambda w: (held[w], w))] and asked[0][-2:] == ["warranty", "software"]
+
+
 def test_edge_cases(spark):
     assert scan(spark, []) == {}
     rows = [(1, "mit license", "k", 3), (1, "mit license", "k", 4), (None, "bsd", None, None)]
