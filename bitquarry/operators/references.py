@@ -80,25 +80,24 @@ def decoded_picture_buffer(pictures: DataFrame) -> DataFrame:
         # sorted batches: a stream's rows lie together, also over batches; only the buffer of the last stream is kept
         state: dict = {}
         for batch in batches:
-            for stream, rows in batch.groupby("stream_id", sort=False):
-                if state.get("stream") != stream:
-                    state = {"stream": stream, "held": []}
-                yield _advance(stream, rows, state["held"])
+            out = []
+            for row in zip(*(batch[c] for c in ("stream_id", "pic_id", "poc", "used", "waiting", "capacity")), strict=True):
+                if state.get("stream") != row[0]:
+                    state = {"stream": row[0], "held": []}
+                out.append(_advance(*row, state["held"]))
+            yield pd.DataFrame(out, columns=["stream_id", "pic_id", "evicted", "n_held", "held"]).astype({"evicted": "Int64"})
 
     return dealt.mapInPandas(run, "stream_id long, pic_id long, evicted long, n_held long, held string")
 
 
-def _advance(stream: int, rows: pd.DataFrame, held: list) -> pd.DataFrame:
-    out = []
-    for pic, poc, used, waiting, room in zip(rows["pic_id"], rows["poc"], rows["used"], rows["waiting"], rows["capacity"], strict=True):
-        evicted = None
-        if room:
-            if len(held) >= room:
-                gone = next((i for i, (_, u, w) in enumerate(held) if not u and not w), 0)
-                evicted = held.pop(gone)[0]
-            held.append((int(poc), bool(used), bool(waiting)))
-        out.append((stream, pic, evicted, len(held), ",".join(str(p) for p, _, _ in held)))
-    return pd.DataFrame(out, columns=["stream_id", "pic_id", "evicted", "n_held", "held"]).astype({"evicted": "Int64"})
+def _advance(stream: int, pic: int, poc: int, used: bool, waiting: bool, room: int, held: list) -> tuple:
+    evicted = None
+    if room:
+        if len(held) >= room:
+            gone = next((i for i, (_, u, w) in enumerate(held) if not u and not w), 0)
+            evicted = held.pop(gone)[0]
+        held.append((int(poc), bool(used), bool(waiting)))
+    return stream, pic, evicted, len(held), ",".join(str(p) for p, _, _ in held)
 
 
 def o3_poc_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
