@@ -127,3 +127,12 @@ def test_substreams_of_a_slice():
         substreams(b"abc", 0, [9])
     with pytest.raises(BitstreamError):
         substreams(b"abc", 7, [])
+
+
+def test_a_bin_behind_the_largest_rice_code_is_an_error():
+    assert decode_bins("1" * 36, "TR", c_max=36) == 36 and decode_bins("1" * 35 + "0", "TR", c_max=36) == 35
+    for bins, c_max in (("1" * 36 + "0", 36), ("10", 1), ("0", 0)):
+        with pytest.raises(BitstreamError, match="wrong length"):
+            decode_bins(bins, "TR", c_max=c_max)
+    # with a rest the zero tells values apart
+    assert decode_bins("1100", "TR", c_max=5, rice=1) == 4 and decode_bins("11", "TR", c_max=5, rice=1) == 5
