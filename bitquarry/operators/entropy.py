@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arith import clip, shift_right
-from ..runtime import ship
+from ..runtime import pieces, ship
 from ..sources.entropy import Scripted
 from ..sources.slicedata import Picture, coding_tree, rows_of_tree
 from ..sources.tables import table
@@ -37,7 +37,7 @@ def coding_tree_rows(streams: DataFrame) -> DataFrame:
     ship(streams.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for stream, w, h, bins in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "width", "height", "bins")), strict=True):
                 picture = Picture(width=w, height=h, ctb_log2=6, min_cb_log2=3)

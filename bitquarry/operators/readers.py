@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arith import power2
-from ..runtime import shared_path, ship
+from ..runtime import dealt, pieces, shared_path, ship
 from ..sources.bits import BitReader, BitstreamError, BitWriter, decode_bins, encode_bins
 from ..sources.bitstream import field
 from ..sources.mp4 import Mp4Source, configuration, movie, sample_places, video_track
@@ -28,7 +28,7 @@ from ..sources.tables import table
 
 def _mapped(run_row: Callable[[tuple], tuple], columns: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = [run_row(row) for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -180,7 +180,7 @@ def b5_exp_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b7_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as strings up to a zero byte: read, not aligned, not ended, or not UTF-8, as the key says."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_name")
+    p = dealt(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey")
     k = F.col("p_partkey")
     name = F.col("p_name").cast("binary")
     payload = F.when(k % 11 == 0, F.concat(F.unhex(F.lit("FF")), name, F.unhex(F.lit("00")))).when(k % 7 == 0, name).otherwise(F.concat(name, F.unhex(F.lit("0041"))))
@@ -190,7 +190,7 @@ def b7_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b8_trailing_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with closing bits behind them, broken for some; what follows the descriptor of coded bins is an error."""
-    p = table(spark, sf_dir, "part", "p_partkey")
+    p = dealt(table(spark, sf_dir, "part", "p_partkey"), "p_partkey")
     k = F.col("p_partkey")
     n = 1 + k % 13
     bits = F.concat(F.lpad(F.bin(k % power2(n)), n.cast("int"), "0"), F.when(k % 6 == 0, F.lit("0")).otherwise(F.lit("1")))
@@ -201,7 +201,7 @@ def b8_trailing_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b11_substreams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bytes from a place of eight, or an error where they lie behind the end."""
-    p = table(spark, sf_dir, "part", "p_partkey")
+    p = dealt(table(spark, sf_dir, "part", "p_partkey"), "p_partkey")
     k = F.col("p_partkey")
     payload = F.unhex(F.lpad(F.hex(k * 2654435761), 16, "0"))
     script = F.array(F.lit("u:3"), F.concat(F.lit("part:"), (k % 8).cast("string"), F.lit(":2")), F.lit("position"), F.lit("left"), F.lit("u:16"))
@@ -210,7 +210,7 @@ def b11_substreams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b14_decoded_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part sizes in all five schemes, coded and decoded; a bin too many behind some of them is an error."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = dealt(table(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k, v = F.col("p_partkey"), F.col("p_size").cast("long")
     scheme = F.explode(F.array(*(F.lit(s) for s in ("FL", "TB", "TR", "EG", "LEG")))).alias("scheme")
     tail = F.when(k % 9 == 0, F.lit("0")).otherwise(F.lit(""))
@@ -343,7 +343,7 @@ def _made(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes]) -> Dat
     """(id, payload): a payload for every part."""
     ship(spark)
     schema = pa.schema([("id", pa.int64()), ("payload", pa.binary())])
-    keys = table(spark, sf_dir, "part", "p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    keys = dealt(table(spark, sf_dir, "part", "p_partkey"), "p_partkey")
     return keys.mapInArrow(_mapped(lambda row: (row[0], make(row[0])), ["p_partkey"], schema), "id long, payload binary")
 
 
@@ -518,7 +518,7 @@ def write_movies(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes])
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        for batch in batches:
+        for batch in pieces(batches):
             for key in batch.column("n_nationkey").to_pylist():
                 files, at = fs.FileSystem.from_uri(folder)
                 files.create_dir(at)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship, stored
+from ..runtime import pieces, ship, stored
 from .bits import BitReader, BitstreamError, unescape
 from .syntax import KINDS, parse_payload, read_table, slice_context, slice_pps_id, unit_header, width
 
@@ -78,7 +78,7 @@ def _units(split: Callable[..., list[bytes]], strict: bool) -> Callable[[Iterato
     """Splits rows (stream_id, payload, whatever ``split`` takes besides)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for stream, payload, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
@@ -143,7 +143,7 @@ def _parsed(strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     names = [f.split()[0] for f in PARSED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for stream, idx, unit, error in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "nal_idx", "unit", "error")), strict=True):
                 head: tuple = (None, None, None)
@@ -188,7 +188,10 @@ def as_of(rows: DataFrame, sets: DataFrame, key: str, value: str) -> DataFrame:
     w = Window.partitionBy("stream_id", key).orderBy("nal_idx", F.desc("__is_set")).rowsBetween(Window.unboundedPreceding, -1)
     placed = both.withColumn("__place", F.last("__place", ignorenulls=True).over(w)).where("not __is_set").drop("__is_set")
     values = sets.select("stream_id", F.col("nal_idx").alias("__place"), value)
-    return placed.join(values.hint("merge"), ["stream_id", "__place"], "left").drop("__place")
+    # a fixed number of parts: by their compressed size they would be put together into few, and Python reads slices behind this
+    spark, key = rows.sparkSession, ["stream_id", "__place"]
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartition(n, *key).join(values.repartition(n, *key).hint("merge"), key, "left").drop("__place")
 
 
 HEADERS = "stream_id long, nal_idx long, header string, error string"
@@ -201,7 +204,7 @@ def _loaded(fields: str) -> dict:
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for stream, idx, kind, rbsp, sps, pps in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "nal_idx", "nal_type", "rbsp", "sps", "pps")), strict=True):
             header, error = None, None
@@ -221,7 +224,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pps_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids = []
         for kind, rbsp in zip(batch.column("nal_type").to_pylist(), batch.column("rbsp").to_pylist(), strict=True):
             try:

@@ -136,3 +136,26 @@ def test_a_bin_behind_the_largest_rice_code_is_an_error():
             decode_bins(bins, "TR", c_max=c_max)
     # with a rest the zero tells values apart
     assert decode_bins("1100", "TR", c_max=5, rice=1) == 4 and decode_bins("11", "TR", c_max=5, rice=1) == 5
+
+
+def test_codes_by_the_word_and_bit_by_bit():
+    def slowly(bits):
+        zeros = len(bits) - len(bits.lstrip("0"))
+        if zeros > 63:
+            return "exp-golomb overflow", zeros
+        if 2 * zeros + 1 > len(bits):
+            return "unexpected end", None
+        return int(bits[zeros : 2 * zeros + 1], 2) - 1, 2 * zeros + 1
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        start, n = rng.randrange(9), rng.randrange(0, 140)
+        bits = ("0" * rng.randrange(0, 70) + "1" + format(rng.getrandbits(140), "0140b"))[:n]
+        text = format(rng.getrandbits(start), f"0{start}b") * (start > 0) + bits
+        behind = "1" * (-len(text) % 8 + 8 * rng.randrange(2))  # bits behind the reader's end aren't looked at
+        data = int("1" + text + behind, 2).to_bytes((len(text + behind) + 8) // 8, "big")[1:]
+        reader, (want, after) = BitReader(data, start, len(text)), slowly(bits)
+        try:
+            assert (reader.ue(), reader.at - start) == (want, after)
+        except BitstreamError as e:
+            assert e.kind == want
